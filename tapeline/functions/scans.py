@@ -61,6 +61,12 @@ def group_ids(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.cumsum(change)
 
 
+def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """First row per key. Spark cuts each key to one row per task before the shuffle."""
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(ordered)).filter("_rn = 1").drop("_rn")
+
+
 def row_number_by_chunk(
     df: DataFrame, keys: list[str], chunk: Column, order: list[Column], out: str,
     chunk_desc: bool = False,
@@ -278,10 +284,9 @@ def _newest_per_key(df: DataFrame, scope: list[str], k: int) -> DataFrame:
 
     ``row_number() <= k`` lets Spark cut every scope to k rows before the shuffle.
     """
-    per_key = Window.partitionBy(*scope, "item_key").orderBy(F.col("at_us").desc())
     newest = Window.partitionBy(*scope).orderBy(F.col("at_us").desc(), F.col("item_key"))
     return (
-        df.withColumn("_v", F.row_number().over(per_key)).filter("_v = 1").drop("_v")
+        first_row(df, [*scope, "item_key"], [F.col("at_us").desc(), "payload"])
         .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= k).drop("_r")
     )
 
