@@ -18,8 +18,6 @@ from pyspark.sql.window import Window, WindowSpec
 from tapeline.functions.expr import guarded_ratio
 from tapeline.functions.scans import complete_groups
 
-BY_DAY = Window.partitionBy("symbol_key").orderBy("date_key")
-
 # MACD spans and the shortest history that gets one.
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 MACD_MIN_ROWS = 26
@@ -33,9 +31,13 @@ FACT_COLUMNS = [
 ]
 
 
+def by_day() -> WindowSpec:
+    return Window.partitionBy("symbol_key").orderBy("date_key")
+
+
 def last_rows(n: int) -> WindowSpec:
     """The current row and the n-1 before it; shorter at the start of a history."""
-    return BY_DAY.rowsBetween(1 - n, 0)
+    return by_day().rowsBetween(1 - n, 0)
 
 
 def join_dims(silver: DataFrame, symbols: DataFrame, days: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def join_dims(silver: DataFrame, symbols: DataFrame, days: DataFrame) -> DataFra
 
 def returns(df: DataFrame) -> DataFrame:
     prev = F.col("prev_close")
-    return df.withColumn("prev_close", F.lag("adj_close").over(BY_DAY)).withColumns({
+    return df.withColumn("prev_close", F.lag("adj_close").over(by_day())).withColumns({
         "daily_return": guarded_ratio(F.col("adj_close") - prev, prev),
         "log_return": F.when(
             (prev > 0) & (F.col("adj_close") > 0), F.ln(F.col("adj_close") / prev)

@@ -21,6 +21,9 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Timestamps are instants in UTC, whatever the writer flagged; a cast after the read
+    # would keep time filters out of the scan.
+    conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark
 
 
@@ -30,6 +33,7 @@ def local_session(cores: str = "*", app: str = "tapeline", **extra: str) -> Spar
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
