@@ -275,8 +275,8 @@ def greedy_cooldown(
 
 # --- newest distinct items as of a moment ------------------------------------
 
-HOUR = 3600
-DAY_HOURS = 24
+DAY_S = 86_400
+PROBE = "~"  # marks a probe in the stream of items
 
 
 def _newest_per_key(df: DataFrame, scope: list[str], k: int) -> DataFrame:
@@ -284,124 +284,127 @@ def _newest_per_key(df: DataFrame, scope: list[str], k: int) -> DataFrame:
 
     ``row_number() <= k`` lets Spark cut every scope to k rows before the shuffle.
     """
+    order = [F.col("at_us").desc(), *(["payload"] if "payload" in df.columns else [])]
     newest = Window.partitionBy(*scope).orderBy(F.col("at_us").desc(), F.col("item_key"))
     return (
-        first_row(df, [*scope, "item_key"], [F.col("at_us").desc(), "payload"])
+        first_row(df, [*scope, "item_key"], order)
         .withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= k).drop("_r")
     )
 
 
-def _latest_items(k: int, scope: list[str]) -> Callable:
-    group = [*scope, "hour"]
+def _latest_items(k: int, scope: list[str], ttl_s: dict[str, int]) -> Callable:
+    """One ordered pass over items and probes; the state is the k newest items per side."""
+    group = [*scope, "day"]
+    reach_us = {side: ttl * 1_000_000 for side, ttl in ttl_s.items()}
+
+    def answer(recent: dict, now_us: int) -> list[tuple]:
+        """Newest k of all sides, one per key; the alphabetically first side wins a tie."""
+        known = [
+            (-us, key, side)
+            for side, items in recent.items()
+            for key, us in items.items()
+            if us >= now_us - reach_us[side]
+        ]
+        best: dict[str, tuple] = {}
+        for us, key, side in sorted(known, key=lambda r: (r[0], r[2])):
+            best.setdefault(key, (us, key, side))
+        return sorted(best.values())[:k]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, {}
         for frame in batches:
-            gid_cols = [frame[c].to_numpy() for c in group]
-            probe_row, item_row, ranks = [], [], []
-            pool: list = []
-            for i, (at_s, kind, key, at_us, payload, ttl) in enumerate(zip(
-                frame["at_s"], frame["kind"], frame["item_key"], frame["at_us"],
-                frame["payload"], frame["ttl_s"],
-            )):
-                here = tuple(c[i] for c in gid_cols)
+            group_cols = [frame[c].to_numpy() for c in group]
+            probe_row, ranks, found = [], [], []
+            for i, (at_s, side, key, at_us) in enumerate(
+                zip(frame["at_s"], frame["side"], frame["item_key"], frame["at_us"])
+            ):
+                here = tuple(c[i] for c in group_cols)
                 if here != current:
-                    current, recent = here, {}
-                if kind == 0:
-                    recent.pop(key, None)
-                    recent[key] = (at_us, key, payload)
-                    if len(recent) > k:
-                        del recent[next(iter(recent))]
+                    current, recent = here, {s: {} for s in ttl_s}
+                if side in reach_us:
+                    items = recent[side]
+                    items.pop(key, None)
+                    items[key] = at_us
+                    if len(items) > k:
+                        del items[next(iter(items))]
                     continue
-                floor_us = (at_s - ttl) * 1_000_000
-                for rank, (us, ikey, item) in enumerate(reversed(recent.values()), 1):
-                    if us < floor_us:
-                        break
+                for rank, item in enumerate(answer(recent, at_s * 1_000_000), 1):
                     probe_row.append(i)
                     ranks.append(rank)
-                    pool.append((us, ikey, item))
+                    found.append(item)
             out = frame.iloc[probe_row][[*scope, "at_s"]].reset_index(drop=True)
             yield out.assign(
-                at_us=pd.Series([p[0] for p in pool], dtype="int64"),
-                item_key=pd.Series([p[1] for p in pool], dtype="object"),
-                payload=pd.Series([p[2] for p in pool], dtype="object"),
+                rank=pd.Series(ranks, dtype="int32"),
+                at_us=pd.Series([-f[0] for f in found], dtype="int64"),
+                item_key=pd.Series([f[1] for f in found], dtype="object"),
+                side=pd.Series([f[2] for f in found], dtype="object"),
             )
 
     return run
 
 
 def newest_items_as_of(
-    probes: DataFrame, items: DataFrame, scope: list[str], k: int, max_ttl_s: int
+    probes: DataFrame, items: DataFrame, scope: list[str], k: int, ttl_s: dict[str, int]
 ) -> DataFrame:
-    """For each probe, the k newest items with distinct keys, not older than its ttl.
+    """For each probe, the k newest items with distinct keys that are still fresh enough.
 
-    ``probes``: scope, at_s, ttl_s. ``items``: scope, item_key, at_us, payload (text).
-    No probe/item pair is ever formed outside the answer: items shrink to k per
-    second, hour and day; a probe's hour starts from the k newest of the hours and
-    days before it, and the hour itself is one ordered pass over at most 3,600 x k
-    rows whatever the size of the scope.
-    """
-    days_back = -(-max_ttl_s // (HOUR * DAY_HOURS))
-    second = F.ceil(F.col("at_us") / 1_000_000).cast("bigint")
-    timed = items.select(*scope, "item_key", "at_us", "payload", second.alias("at_s"))
-    seconds = _newest_per_key(timed, [*scope, "at_s"], k).withColumn(
-        "hour", F.floor(F.col("at_s") / HOUR).cast("bigint")
-    )
-    hours = _newest_per_key(seconds, [*scope, "hour"], k)
-    days = _newest_per_key(
-        hours.withColumn("day", F.floor(F.col("hour") / DAY_HOURS).cast("bigint")),
-        [*scope, "day"], k,
-    )
+    ``probes``: scope, at_s. ``items``: scope, side, item_key, at_us, payload; ``ttl_s``
+    says how long items of each side count. Of one key the newest version is taken.
 
-    asked = probes.select(
-        *scope, F.col("at_s").cast("bigint").alias("at_s"), F.col("ttl_s").cast("bigint"),
-        F.floor(F.col("at_s") / HOUR).cast("bigint").alias("hour"),
-    ).distinct()
-    asked_hours = asked.select(*scope, "hour").distinct()
-    day_of = F.floor(F.col("hour") / DAY_HOURS).cast("bigint")
-    earlier_hours = asked_hours.filter(F.col("hour") % DAY_HOURS != 0).select(
-        *scope, F.col("hour").alias("probe_hour"),
-        F.explode(F.sequence(day_of * DAY_HOURS, F.col("hour") - 1)).alias("hour"),
-    )
-    earlier_days = asked_hours.select(
-        *scope, F.col("hour").alias("probe_hour"),
-        F.explode(F.sequence(day_of - F.lit(days_back), day_of - 1)).alias("day"),
-    )
-    body = ["item_key", "at_us", "payload", "at_s"]
-    before = (
-        earlier_hours.join(hours, [*scope, "hour"]).select(*scope, "probe_hour", *body)
-        .unionByName(
-            earlier_days.join(days, [*scope, "day"]).select(*scope, "probe_hour", *body)
-        )
+    No probe/item pair is formed outside the answer. Items shrink to k per side and
+    second and to k per side and day; a probe's day starts from the k newest of the
+    days before it and is then one streaming pass, bounded by the clock whatever the
+    size of the scope, that holds k items per side in memory. Payloads stay out of the
+    pass and are joined to its answers.
+    """
+    days_back = -(-max(ttl_s.values()) // DAY_S)
+
+    def day_of(second: str) -> Column:
+        return F.floor(F.col(second) / DAY_S).cast("bigint")
+
+    sided = [*scope, "side"]
+    seconds = _newest_per_key(
+        items.select(
+            *sided, "item_key", "at_us", "payload",
+            F.ceil(F.col("at_us") / 1_000_000).cast("bigint").alias("at_s"),
+        ),
+        [*sided, "at_s"], k,
     )
-    carried = _newest_per_key(before, [*scope, "probe_hour"], k).withColumnRenamed(
-        "probe_hour", "hour"
+    narrow = seconds.select(*sided, "at_s", "item_key", "at_us").withColumn("day", day_of("at_s"))
+    days = _newest_per_key(narrow, [*sided, "day"], k)
+    # A day's newest items are handed to the following days within reach.
+    later = days.withColumn(
+        "day", F.explode(F.sequence(F.col("day") + 1, F.col("day") + days_back))
     )
-    inside = seconds.join(asked_hours, [*scope, "hour"], "left_semi")
-
-    columns = [*scope, "hour", "at_s", "kind", "item_key", "at_us", "payload", "ttl_s"]
-    as_item = lambda df: df.withColumn("kind", F.lit(0)).withColumn(
-        "ttl_s", F.lit(0).cast("bigint")
-    ).select(*columns)
-    as_probe = asked.select(
-        *scope, "hour", "at_s", F.lit(1).alias("kind"), F.lit("").alias("item_key"),
-        F.lit(0).cast("bigint").alias("at_us"), F.lit("").alias("payload"), "ttl_s",
+    carried = _newest_per_key(later, [*sided, "day"], k)
+    asked = probes.select(*scope, F.col("at_s").cast("bigint").alias("at_s")).distinct()
+
+    columns = [*scope, "day", "at_s", "side", "item_key", "at_us"]
+    as_probes = asked.withColumns({
+        "day": day_of("at_s"), "side": F.lit(PROBE), "item_key": F.lit(""),
+        "at_us": F.lit(0).cast("bigint"),
+    })
+    stream = (
+        carried.select(*columns).unionByName(narrow.select(*columns))
+        .unionByName(as_probes.select(*columns))
     )
-    stream = as_item(carried).unionByName(as_item(inside)).unionByName(as_probe)
     typed = {f.name: f.dataType for f in probes.schema.fields}
-    return (
-        stream.repartition(*scope, "hour")
+    answers = (
+        stream.repartition(*scope, "day")
+        # Items of a probe's own second come before the probe.
         .sortWithinPartitions(
-            *scope, "hour", "at_s", "kind", "at_us", F.col("item_key").desc()
+            *scope, "day", "at_s", F.col("side") == PROBE, "at_us", F.col("item_key").desc()
         )
         .mapInPandas(
-            _latest_items(k, scope),
+            _latest_items(k, scope, ttl_s),
             T.StructType([
                 *[T.StructField(c, typed[c]) for c in scope],
                 T.StructField("at_s", T.LongType()),
+                T.StructField("rank", T.IntegerType()),
                 T.StructField("at_us", T.LongType()),
                 T.StructField("item_key", T.StringType()),
-                T.StructField("payload", T.StringType()),
+                T.StructField("side", T.StringType()),
             ]),
         )
     )
+    return answers.join(seconds.drop("at_s"), [*sided, "item_key", "at_us"])

@@ -69,15 +69,30 @@ def intraday_measures(df: DataFrame) -> DataFrame:
     })
 
 
+# Each indicator is a set of window columns and a projection over them, so that the
+# fact can put all window columns into one Window operator.
+
+Columns = dict[str, Column]
+
+
+def _mean(part: Column, rows: int) -> Column:
+    return F.avg(part).over(last_rows(rows))
+
+
+def _deviation(part: Column, rows: int) -> Column:
+    return F.stddev_pop(part).over(last_rows(rows))
+
+
+def rolling_20d_windows() -> Columns:
+    r, volume = F.col("daily_return"), F.col("volume").cast("double")
+    return {
+        "mean_return_20d": _mean(r, 20), "std_return_20d": _deviation(r, 20),
+        "mean_volume_20d": _mean(volume, 20), "std_volume_20d": _deviation(volume, 20),
+    }
+
+
 def rolling_20d(df: DataFrame) -> DataFrame:
-    w = last_rows(20)
-    volume = F.col("volume").cast("double")
-    return df.withColumns({
-        "mean_return_20d": F.avg("daily_return").over(w),
-        "std_return_20d": F.stddev_pop("daily_return").over(w),
-        "mean_volume_20d": F.avg(volume).over(w),
-        "std_volume_20d": F.stddev_pop(volume).over(w),
-    })
+    return df.withColumns(rolling_20d_windows())
 
 
 def zscores(df: DataFrame) -> DataFrame:
@@ -90,54 +105,56 @@ def zscores(df: DataFrame) -> DataFrame:
     })
 
 
+def bollinger_windows() -> Columns:
+    price = F.col("adj_close")
+    return {"bb_mid": _mean(price, 20), "_bb_std": _deviation(price, 20)}
+
+
+def bollinger_bands(df: DataFrame) -> DataFrame:
+    bands = df.withColumns({
+        "bb_upper": F.col("bb_mid") + 2.0 * F.col("_bb_std"),
+        "bb_lower": F.col("bb_mid") - 2.0 * F.col("_bb_std"),
+    })
+    width = F.col("bb_upper") - F.col("bb_lower")
+    return bands.withColumn(
+        "bb_position", guarded_ratio(F.col("adj_close") - F.col("bb_lower"), width)
+    ).drop("_bb_std")
+
+
 def bollinger(df: DataFrame) -> DataFrame:
-    w = last_rows(20)
-    return (
-        df.withColumns({
-            "bb_mid": F.avg("adj_close").over(w),
-            "_bb_std": F.stddev_pop("adj_close").over(w),
-        })
-        .withColumns({
-            "bb_upper": F.col("bb_mid") + 2.0 * F.col("_bb_std"),
-            "bb_lower": F.col("bb_mid") - 2.0 * F.col("_bb_std"),
-        })
-        .withColumn(
-            "bb_position",
-            guarded_ratio(
-                F.col("adj_close") - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")
-            ),
-        )
-        .drop("_bb_std")
-    )
+    return bollinger_bands(df.withColumns(bollinger_windows()))
+
+
+def rsi_windows() -> Columns:
+    """Average gain and loss; a missing return is neither."""
+    r, none = F.coalesce("daily_return", F.lit(0.0)), F.lit(0.0)
+    return {"_gain": _mean(F.greatest(r, none), 14), "_loss": _mean(F.greatest(-r, none), 14)}
 
 
-def _mean_of(part: Column) -> Column:
-    return F.avg(part).over(last_rows(14))
+def rsi_from_averages(df: DataFrame) -> DataFrame:
+    """Simple-average RSI; no loss at all means 100."""
+    strength = F.try_divide("_gain", "_loss")
+    return df.withColumn(
+        "rsi_14",
+        F.when(F.col("_loss") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + strength)),
+    ).drop("_gain", "_loss")
 
 
 def rsi_14(df: DataFrame) -> DataFrame:
-    """Simple-average RSI. A missing return is neither gain nor loss; no loss means 100."""
-    r = F.coalesce("daily_return", F.lit(0.0))
-    gain, loss = F.col("_gain"), F.col("_loss")
-    return (
-        df.withColumns({
-            "_gain": _mean_of(F.greatest(r, F.lit(0.0))),
-            "_loss": _mean_of(F.greatest(-r, F.lit(0.0))),
-        })
-        .withColumn(
-            "rsi_14", F.when(loss == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(gain, loss)))
-        )
-        .drop("_gain", "_loss")
-    )
+    return rsi_from_averages(df.withColumns(rsi_windows()))
 
 
-def atr_14(df: DataFrame) -> DataFrame:
+def atr_windows() -> Columns:
     prev = F.col("prev_close")
     # greatest() skips nulls, so the first bar's range is high - low.
     true_range = F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)
     )
-    return df.withColumn("atr_14", _mean_of(true_range))
+    return {"atr_14": _mean(true_range, 14)}
+
+
+def atr_14(df: DataFrame) -> DataFrame:
+    return df.withColumns(atr_windows())
 
 
 def macd(df: DataFrame) -> DataFrame:
@@ -174,11 +191,13 @@ def macd(df: DataFrame) -> DataFrame:
 
 
 def window_indicators(joined: DataFrame) -> DataFrame:
-    """Everything but MACD: one shuffle by symbol, all inside the JVM."""
+    """Everything but MACD: one shuffle by symbol and two Window operators in the JVM."""
     df = joined.withColumnRenamed("vwap_estimate", "vwap").repartition("symbol_key")
-    for step in (returns, intraday_measures, rolling_20d, zscores, bollinger, rsi_14, atr_14):
-        df = step(df)
-    return df.drop("prev_close")
+    measured = intraday_measures(returns(df))
+    rolled = measured.withColumns({
+        **rolling_20d_windows(), **bollinger_windows(), **rsi_windows(), **atr_windows(),
+    })
+    return rsi_from_averages(bollinger_bands(zscores(rolled))).drop("prev_close")
 
 
 def build_fact(joined: DataFrame) -> DataFrame:

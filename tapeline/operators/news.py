@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeline.functions.expr import iso_seconds
-from tapeline.functions.scans import first_row, newest_items_as_of
+from tapeline.functions.scans import newest_items_as_of
 
 # How far back each side is read, and how many articles are kept.
 FRESH_HOURS = 6
@@ -45,32 +44,17 @@ def retrieve_news(
     several versions of one key the newest is kept and a fresh one wins a tie; cleaned
     rows are copies of fresh rows, so this is the order "fresh before history".
     """
-    asked = requests.select("symbol", F.col(at).cast("bigint").alias("at_s")).distinct()
-    sides = {"fresh": FRESH_HOURS * 3600, "history": HISTORY_DAYS * 86400}
-    probes = None
-    for side, ttl in sides.items():
-        part = asked.select(
-            F.lit(side).alias("side"), "symbol", "at_s", F.lit(ttl).cast("bigint").alias("ttl_s")
-        )
-        probes = part if probes is None else probes.unionByName(part)
+    moments = requests.select("symbol", F.col(at).cast("bigint").alias("at_s"))
     found = newest_items_as_of(
-        probes, _items(fresh, "fresh").unionByName(_items(history, "history")),
-        ["side", "symbol"], k, max(sides.values()),
+        moments, _items(fresh, "fresh").unionByName(_items(history, "history")),
+        ["symbol"], k, {"fresh": FRESH_HOURS * 3600, "history": HISTORY_DAYS * 86400},
     )
-    # At most k rows per side and moment are left from here on.
-    moment = ["symbol", "at_s"]
-    merged = first_row(found, [*moment, "item_key"], [F.col("at_us").desc(), "side"])
-    newest = Window.partitionBy(*moment).orderBy(F.col("at_us").desc(), "item_key")
-    ranked = (
-        merged.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= k)
-        .withColumn("a", F.from_json("payload", ARTICLE))
-        .select(
-            *moment, "rank", "side", "a.title", "a.url", "a.source",
-            F.timestamp_micros("at_us").alias("published_at"),
-        )
+    numbered = found.withColumn("a", F.from_json("payload", ARTICLE)).select(
+        "symbol", "at_s", "rank", "side", "a.title", "a.url", "a.source",
+        F.timestamp_micros("at_us").alias("published_at"),
     )
     return requests.select(id_col, "symbol", F.col(at).cast("bigint").alias("at_s")).join(
-        ranked, moment
+        numbered, ["symbol", "at_s"]
     )
 
 

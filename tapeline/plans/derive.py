@@ -188,7 +188,7 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(every(i, 89), " ").otherwise(
             F.concat(F.lit(" s"), F.pmod("user_id", F.lit(20)).cast("string"), F.lit(" "))
         ).alias("s"),
-        F.when(every(i, 83), 0.0).otherwise(F.col("value")).alias("p"),
+        F.when(every(i, 83), 0.0).otherwise(F.col("value") * PRICE_SCALE).alias("p"),
         (F.pmod(i, F.lit(100)) + 1.5).alias("v"),
         F.when(every(i, 79), F.floor(t / 1000)).otherwise(t).cast("bigint").alias("t"),
         F.when(every(i, 3), F.array().cast("array<string>")).otherwise(F.array("event_type"))
@@ -244,10 +244,15 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def silver_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.dedup_rank(clean.clean_news(articles(spark, sf_dir)))
 
 
+def silver_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned news table: stored, since evidence is looked up in it repeatedly."""
+    return stored(spark, sf_dir, "silver_news", lambda: cleaned_news(spark, sf_dir))
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered evidence of all alerts: stored, since every verdict job reads it."""
     return stored(

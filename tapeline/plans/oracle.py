@@ -383,7 +383,7 @@ _block("once_fired", """
 _block("raw_ticks", """
   SELECT event_id AS tick_id,
          CASE WHEN event_id % 89 = 0 THEN ' ' ELSE ' s' || (user_id % 20) || ' ' END AS s,
-         CASE WHEN event_id % 83 = 0 THEN 0.0 ELSE value END AS p, event_id % 100 + 1.5 AS v,
+         CASE WHEN event_id % 83 = 0 THEN 0.0 ELSE value * CAST(1.0137771913 AS DOUBLE) END AS p, event_id % 100 + 1.5 AS v,
          CASE WHEN event_id % 79 = 0 THEN t // 1000 ELSE t END AS t,
          CASE WHEN event_id % 3 = 0 THEN [] ELSE [event_type] END AS c
   FROM (SELECT *, 1704067200000 + (epoch_us(ts) // 1000 - 1704067200000) // 200 AS t FROM events)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +45,16 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def rounded_double(x: Column) -> Column:
+    """Six decimals, half away from zero, in machine arithmetic; round() goes via decimals."""
+    scale = 10.0 ** ROUND
+    short = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.when(F.abs(x) < 1e12, short).otherwise(x)
+
+
 def round_doubles(df: DataFrame) -> DataFrame:
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), ROUND).alias(f.name)
+        rounded_double(F.col(f"`{f.name}`")).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
         for f in df.schema.fields
     ])
@@ -218,7 +225,7 @@ def clean_news(spark, sf_dir):
 
 @query("SELECT * FROM silver_news")
 def dedup_rank(spark, sf_dir):
-    return _news_columns(d.silver_news(spark, sf_dir))
+    return _news_columns(d.cleaned_news(spark, sf_dir))
 
 
 @query("SELECT * FROM silver_news", name="dedup_rank_incremental")

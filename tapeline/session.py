@@ -19,6 +19,9 @@ def configure(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # Windows and Arrow stages are CPU-bound: keep small shuffles spread over the cores.
+    # Large ones are sized by total bytes / parallelism and the advisory size as usual.
+    conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     # Timestamps are instants in UTC, whatever the writer flagged; a cast after the read
