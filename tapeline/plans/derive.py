@@ -110,12 +110,17 @@ def company_raw(spark: SparkSession, sf_dir: str, load: int) -> DataFrame:
     )
 
 
-def dim_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+def first_dim_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dimension after its first load."""
     first = dims.latest_snapshot(company_raw(spark, sf_dir, 1))
     return dims.new_versions(first, None, FIRST_LOAD)
 
 
+def dim_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimension table: stored, so that joins know its size before they are planned."""
+    return stored(spark, sf_dir, "dim_symbol", lambda: first_dim_symbol(spark, sf_dir))
+
+
 def joined_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.join_dims(
         silver_bars(spark, sf_dir),

@@ -22,6 +22,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # Windows and Arrow stages are CPU-bound: keep small shuffles spread over the cores.
     # Large ones are sized by total bytes / parallelism and the advisory size as usual.
     conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+    # The JVM never compiles methods above 8,000 bytecodes; wide projections would run
+    # interpreted inside one fused method, so let Spark split those instead.
+    conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     # Timestamps are instants in UTC, whatever the writer flagged; a cast after the read
