@@ -147,8 +147,12 @@ def _next_allowed(frame: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, ...
     return gid, ts, window, place, np.where(inside, nxt, -1), base, span
 
 
-def _chunk_steps(keys: list[str]) -> Callable:
-    """Each chunk as a step function: carried-in last fire -> last fire at chunk end."""
+def _chunk_steps(keys: list[str], any_carry: bool) -> Callable:
+    """Each chunk as a step function: carried-in last fire -> last fire at chunk end.
+
+    ``any_carry`` allows a carried-in fire inside or after the chunk, which late rows
+    can meet.
+    """
     group = [*keys, "chunk"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +171,9 @@ def _chunk_steps(keys: list[str]) -> Callable:
             for s, e in zip(starts, np.r_[starts[1:], len(ts)]):
                 # A carried-in fire is before the chunk, so the first fire inside is one
                 # of the candidates of the first window or the first one after it.
-                reach = min(e, s + np.searchsorted(ts[s:e], first_window[s], side="left") + 1)
+                reach = e if any_carry else min(
+                    e, s + np.searchsorted(ts[s:e], first_window[s], side="left") + 1
+                )
                 entry, out = ts[s:reach], exits[s:reach]
                 keep = np.r_[out[1:] != out[:-1], True]
                 rows.append((entry[keep], out[keep]))
@@ -248,7 +254,7 @@ def greedy_cooldown(
     ).repartition(*keys, "chunk")
 
     steps = cut.sortWithinPartitions(*keys, "chunk", "ts_s").mapInPandas(
-        _chunk_steps(keys),
+        _chunk_steps(keys, carry is not None),
         T.StructType([*key_fields, chunk_field, T.StructField("window_s", T.LongType()),
                       T.StructField("entries", longs), T.StructField("exits", longs)]),
     )

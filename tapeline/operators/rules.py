@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.expr import event_id, guarded_ratio, iso_seconds
+from tapeline.functions.expr import event_id, guarded_ratio, iso_seconds, order_key
 from tapeline.functions.scans import first_row, greedy_cooldown, previous_non_null
 
 MEDIUM, HIGH = "MEDIUM", "HIGH"
@@ -280,11 +280,35 @@ def condition(current: Column, operator: Column, threshold: Column, previous: Co
     )
 
 
-def previous_value(quotes_in_context: DataFrame) -> DataFrame:
-    """Each quote's field values and the last known ones before it, per symbol."""
+def previous_value(quotes_in_context: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Each quote's field values and the last known ones before it, per symbol.
+
+    ``carry`` holds the last known values before these quotes: symbol, f_<field>.
+    """
+    valued = field_values(quotes_in_context).withColumn("ts_s", iso_seconds(F.col("event_ts")))
+    names = [f"f_{f}" for f in FIELDS]
+    known = previous_non_null(valued, "symbol", "ts_s", "quote_id", names)
+    if carry is None:
+        return known
+    older = carry.select("symbol", *[F.col(n).alias(f"old_{n}") for n in names])
+    return known.join(older, "symbol", "left").select(
+        *valued.columns, *[F.coalesce(f"prev_{n}", f"old_{n}").alias(f"prev_{n}") for n in names]
+    )
+
+
+def last_values(quotes_in_context: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+    """Last known value per symbol and field after these quotes, for the next batch."""
     valued = field_values(quotes_in_context).withColumn("ts_s", iso_seconds(F.col("event_ts")))
-    return previous_non_null(
-        valued, "symbol", "ts_s", "quote_id", [f"f_{f}" for f in FIELDS]
+    names = [f"f_{f}" for f in FIELDS]
+    at = order_key(F.col("ts_s"), F.col("quote_id"))
+    last = valued.groupBy("symbol").agg(
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names]
+    )
+    if carry is None:
+        return last
+    old = carry.select("symbol", *[F.col(n).alias(f"old_{n}") for n in names])
+    return last.join(old, "symbol", "full_outer").select(
+        "symbol", *[F.coalesce(n, f"old_{n}").alias(n) for n in names]
     )
 
 
@@ -294,9 +318,11 @@ MATCH_COLUMNS = [
 ]
 
 
-def eval_custom_rules(quotes_in_context: DataFrame, rules: DataFrame) -> DataFrame:
+def eval_custom_rules(
+    quotes_in_context: DataFrame, rules: DataFrame, carry: DataFrame | None = None
+) -> DataFrame:
     """Every quote/rule pair whose condition holds, before ONCE and cooldown."""
-    values = previous_value(quotes_in_context).select(
+    values = previous_value(quotes_in_context, carry).select(
         "quote_id", "symbol", "event_ts", "ts_s",
         *[f"f_{f}" for f in FIELDS], *[f"prev_f_{f}" for f in FIELDS],
     )
@@ -332,9 +358,9 @@ def custom_cooldown(matches: DataFrame, carry: DataFrame | None = None) -> DataF
     return repeating.filter("cooldown_min <= 0").unionByName(held)
 
 
-def fired_custom_alerts(matches: DataFrame) -> DataFrame:
+def fired_custom_alerts(matches: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Alert events of all user rules: ONCE first matches and cooled-down repeats."""
-    fired = once_rules(matches).unionByName(custom_cooldown(matches))
+    fired = once_rules(matches).unionByName(custom_cooldown(matches, carry))
     return fired.select(
         event_id(F.col("rule_id"), F.col("symbol"), F.col("quote_id")).alias("event_id"),
         "rule_id", "user_id", "symbol", "field", "operator", "threshold", "triggered_value",

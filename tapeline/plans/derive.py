@@ -183,8 +183,13 @@ def quotes_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks_of(
+        source(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    )
+
+
+def ticks_of(e: DataFrame) -> DataFrame:
     """Feed ticks of twenty symbols, thirty days squeezed into a few hours."""
-    e = source(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     i = F.col("event_id")
     start = 1704067200000
     t = start + F.floor((F.unix_millis("ts") - start) / 200)
@@ -202,8 +207,11 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts_of(source(spark, sf_dir, "events", "event_id", "ts", "user_id", "value"))
+
+
+def alerts_of(e: DataFrame) -> DataFrame:
     """An alert topic: one system alert per event."""
-    e = source(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
     i = F.col("event_id")
     value = F.round(F.col("value") / 10.0, 4)
     return e.select(

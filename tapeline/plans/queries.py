@@ -6,6 +6,7 @@ sides, since engines add floating point numbers in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,9 @@ from tapeline.operators import (
 )
 from tapeline.plans import derive as d
 from tapeline.plans.oracle import CONTEXT, ROUND, TRACKED, _F, rounded, with_blocks
-from tapeline.session import configure
+from tapeline.session import checkpoint_dir, configure
 from tapeline.sources import documents, normalize
+from tapeline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1077,3 +1079,44 @@ def render_confirmed_text(spark, sf_dir):
     return render.render_confirmed(_confirmed(spark, sf_dir)).select("alert_id", "alert_text")
 
 
+
+
+# --- streams over the given tables --------------------------------------------------
+
+
+def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+
+
+EVENTS = (
+    "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+)
+
+
+def _run_to_end(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all available rows and read what it appended."""
+    root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jobs.stream_write(df, f"{root}/table", f"{root}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/table")
+
+
+@query(f"""SELECT bar_ts, symbol, {rounded(BAR + ' vwap')}, volume, trade_count, bar_date
+           FROM bars_1min WHERE bar_ts + INTERVAL 1 MINUTE <= (
+             SELECT make_timestamp(max(timestamp_ms) * 1000) - INTERVAL 5 MINUTE FROM ticks)""")
+def stream_bars_1min(spark, sf_dir):
+    """Bars the watermark has closed when the stream has read every tick."""
+    raw = d.ticks_of(_stream_events(spark, sf_dir))
+    ticks = normalize.normalize_trades(raw, keep=("tick_id",))
+    return _run_to_end(spark, jobs.stream_bars_1min(ticks, tie="tick_id"), "stream-bars")
+
+
+@query("SELECT DISTINCT alert_id, symbol, event_ts, rule_name FROM alerts")
+def dedup_alerts(spark, sf_dir):
+    """Every alert sent twice; each passes once."""
+    sent = d.alerts_of(_stream_events(spark, sf_dir)).drop("context_snapshot")
+    twice = sent.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return _run_to_end(spark, jobs.dedup_alerts(twice), "stream-alerts").select(
+        "alert_id", "symbol", "event_ts", "rule_name"
+    )
