@@ -36,11 +36,11 @@ def escape_html(text: Column) -> Column:
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    return F.format_string(f"%.{digits}f", F.bround(value, digits))
 
 
 def _grouped(value: Column, digits: int) -> Column:
-    return F.format_string(f"%,.{digits}f", value)
+    return F.format_string(f"%,.{digits}f", F.bround(value, digits))
 
 
 def readable_number(value: Column) -> Column:

@@ -240,7 +240,7 @@ def rule_coverage(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     total = per_symbol.agg(
         F.count(F.lit(1)).alias("matched_symbols"), F.sum("n").alias("matched_quotes"),
         F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-    ).withColumn("subject", F.lit(WILDCARD))
+    )
     subjects = rule_subjects(rules)
     listed = (
         subjects.filter(~F.col("for_all"))
@@ -251,9 +251,9 @@ def rule_coverage(quotes: DataFrame, rules: DataFrame) -> DataFrame:
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         )
     )
-    everywhere = subjects.filter("for_all").select("rule_id", "subject").join(
-        F.broadcast(total), "subject"  # one row
-    ).drop("subject")
+    everywhere = subjects.filter("for_all").select(
+        "rule_id", *[total.select(c).scalar().alias(c) for c in total.columns]
+    )
     return listed.unionByName(everywhere)
 
 

@@ -31,15 +31,18 @@ def classify_alerts(prompts: DataFrame, model: Callable[[pd.DataFrame], pd.DataF
     batch whose call raises comes back as failed rows, so no alert is lost.
     """
 
+    names = [part.split()[0] for part in VERDICT_SCHEMA.split(", ")]
+
+    def complete(answers: pd.DataFrame) -> pd.DataFrame:
+        full = answers.reindex(columns=names).astype(object)
+        return full.where(full.notna(), None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in VERDICT_SCHEMA.split(", ")]
         for batch in batches:
             try:
-                yield model(batch).reindex(columns=names)
+                yield complete(model(batch))
             except Exception:  # any model failure lets the alert pass on
-                yield pd.DataFrame({"alert_id": batch["alert_id"], "failed": True}).reindex(
-                    columns=names
-                )
+                yield complete(pd.DataFrame({"alert_id": batch["alert_id"], "failed": True}))
 
     return prompts.mapInPandas(run, VERDICT_SCHEMA)
 
