@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.expr import event_id, guarded_ratio, iso_seconds, order_key
+from tapeline.functions.joins import spread
 from tapeline.functions.scans import first_row, greedy_cooldown, previous_non_null
 
 MEDIUM, HIGH = "MEDIUM", "HIGH"
@@ -207,27 +208,21 @@ def rule_subjects(rules: DataFrame) -> DataFrame:
     return listed.unionByName(everywhere)
 
 
-def match_rules(quotes: DataFrame, rules: DataFrame, slices: int = 32) -> DataFrame:
+def match_rules(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     """Quote rows paired with the rules that watch them.
 
-    Both branches are equi-joins. Rules are copied into ``slices`` and every quote
-    belongs to one slice, so the quotes of one symbol, or all quotes for a wildcard
-    rule, spread over tasks; when the rules are small the optimizer broadcasts them
-    and nothing is shuffled. Add the firing condition right after this call: it is
-    evaluated inside the join and non-firing pairs never leave it.
+    Both branches are equi-joins spread over slices, so neither the quotes of one
+    symbol nor all quotes for a wildcard rule meet in one task. Add the firing condition
+    right after this call: it is evaluated inside the join and non-firing pairs never
+    leave it.
     """
-    subjects = rule_subjects(rules)
-    sliced = quotes.withColumn(
-        "_slice", F.pmod(F.xxhash64("quote_id"), F.lit(slices)).cast("int")
-    )
-    copied = subjects.withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    ).drop("symbols")
+    subjects = rule_subjects(rules).drop("symbols")
+    sliced, listed = spread(quotes, subjects.filter(~F.col("for_all")), "quote_id")
     by_symbol = sliced.join(
-        copied.filter(~F.col("for_all")).withColumnRenamed("subject", "symbol"),
-        ["symbol", "_slice"],
+        listed.withColumnRenamed("subject", "symbol"), ["symbol", "_slice"]
     )
-    by_wildcard = sliced.join(copied.filter("for_all").drop("subject"), "_slice")
+    sliced, everywhere = spread(quotes, subjects.filter("for_all"), "quote_id")
+    by_wildcard = sliced.join(everywhere.drop("subject"), "_slice")
     return by_symbol.unionByName(by_wildcard).drop("_slice", "for_all")
 
 

@@ -231,8 +231,11 @@ def alerts_of(e: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles_of(source(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
+def articles_of(d: DataFrame) -> DataFrame:
     """Bronze news: the first line of a document is its headline."""
-    d = source(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     i = F.col("doc_id")
     url_no = F.when(every(i, 19), i - 1).otherwise(i)
     url = F.concat(F.lit("https://news.example.com/"), url_no.cast("string"))

@@ -1120,3 +1120,23 @@ def dedup_alerts(spark, sf_dir):
     return _run_to_end(spark, jobs.dedup_alerts(twice), "stream-alerts").select(
         "alert_id", "symbol", "event_ts", "rule_name"
     )
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("SELECT DISTINCT article_id FROM articles WHERE trim(title) <> '' AND trim(url) <> ''")
+def stream_ingest_news(spark, sf_dir):
+    """News events from all documents; of two events with one id either may pass first."""
+    docs = spark.readStream.schema(DOCUMENTS).option(
+        "pathGlobFilter", "documents.parquet"
+    ).parquet(sf_dir)
+    a = d.articles_of(docs)
+    millis = lambda c: F.unix_millis(c).cast("string")
+    events = a.select(
+        "article_id", "symbol", F.col("title").alias("headline"),
+        F.col("description").alias("summary"), "url", F.col("source_name").alias("source"),
+        "category", millis(F.col("published_at")).alias("published_at_ms"),
+        millis(F.col("fetched_at")).alias("fetched_at_ms"),
+    )
+    return _run_to_end(spark, jobs.ingest_news(events), "stream-news").select("article_id")

@@ -27,7 +27,9 @@ def people(spark):
     return users, prefs, watch
 
 
-def test_fan_out_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [20_000, 0])
+def test_fan_out_equals_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr("tapeline.functions.joins.BROADCAST_ROWS", broadcast_rows)
     subs = routing.resolve_subscribers(*people(spark))
     assert sorted((r.subject, r.user_id) for r in subs.collect()) == [("*", "u1"), ("A", "u2"), ("B", "u2")]
     alerts = spark.createDataFrame([alert(i, s) for i, s in enumerate("AABC")], ALERT)

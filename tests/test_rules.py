@@ -190,7 +190,9 @@ def test_crossing_uses_the_previous_quote_of_the_symbol(spark):
     assert got == [("r1", "AAPL", "10:02")]
 
 
-def test_match_rules_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast_rows", [20_000, 0])
+def test_match_rules_equals_brute_force(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr("tapeline.functions.joins.BROADCAST_ROWS", broadcast_rows)
     quotes = [dict(symbol=f"S{i % 4}") for i in range(40)]
     overrides = [dict(rule_id="a", symbols=["*"]), dict(rule_id="b", symbols=["S1", "S2"]),
                  dict(rule_id="c", symbols=["*", "S3"]), dict(rule_id="d", symbols=["none"])]
