@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.expr import event_id, guarded_ratio, iso_seconds, order_key
+from tapeline.functions.expr import event_id, guarded_ratio, iso, iso_seconds, order_key
 from tapeline.functions.joins import spread
 from tapeline.functions.scans import first_row, greedy_cooldown, previous_non_null
 
@@ -226,30 +226,37 @@ def match_rules(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     return by_symbol.unionByName(by_wildcard).drop("_slice", "for_all")
 
 
+def first_and_last(n: Column, first_s: Column, last_s: Column) -> list[Column]:
+    """Count and time range; seconds instead of text keep the aggregate hash-based."""
+    return [
+        F.sum(n).alias("n"), F.min(first_s).alias("first_s"), F.max(last_s).alias("last_s"),
+    ]
+
+
 def rule_coverage(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     """How many symbols and quotes each rule watches, without forming the pairs."""
-    per_symbol = quotes.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_ts").alias("first_ts"),
-        F.max("event_ts").alias("last_ts"),
-    )
-    total = per_symbol.agg(
-        F.count(F.lit(1)).alias("matched_symbols"), F.sum("n").alias("matched_quotes"),
-        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-    )
+    at = iso_seconds(F.col("event_ts"))
+    per_symbol = quotes.groupBy("symbol").agg(*first_and_last(F.lit(1), at, at))
+    summed = [
+        F.count(F.lit(1)).alias("matched_symbols"),
+        *first_and_last(F.col("n"), F.col("first_s"), F.col("last_s")),
+    ]
     subjects = rule_subjects(rules)
     listed = (
         subjects.filter(~F.col("for_all"))
         .join(per_symbol.withColumnRenamed("symbol", "subject"), "subject")
-        .groupBy("rule_id")
-        .agg(
-            F.count(F.lit(1)).alias("matched_symbols"), F.sum("n").alias("matched_quotes"),
-            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
-        )
+        .groupBy("rule_id").agg(*summed)
     )
+    # The one row of totals, read once and attached as a value.
+    total = per_symbol.agg(*summed)
     everywhere = subjects.filter("for_all").select(
-        "rule_id", *[total.select(c).scalar().alias(c) for c in total.columns]
+        "rule_id", total.select(F.struct("*")).scalar().alias("t")
+    ).select("rule_id", "t.*")
+    return listed.unionByName(everywhere).select(
+        "rule_id", "matched_symbols", F.col("n").alias("matched_quotes"),
+        iso(F.timestamp_seconds("first_s")).alias("first_ts"),
+        iso(F.timestamp_seconds("last_s")).alias("last_ts"),
     )
-    return listed.unionByName(everywhere)
 
 
 def _by_field(prefix: str) -> Column:

@@ -234,7 +234,9 @@ def dedup_rank(spark, sf_dir):
 def dedup_incremental(spark, sf_dir):
     arrived = clean.clean_news(d.articles(spark, sf_dir))
     late = F.col("published_at") >= F.lit("2024-01-20").cast("timestamp")
-    silver = clean.dedup_rank(arrived.filter(~late))
+    silver = d.stored(
+        spark, sf_dir, "early_silver", lambda: clean.dedup_rank(arrived.filter(~late))
+    )
     return _news_columns(clean.dedup_rank_incremental(arrived.filter(late), silver))
 
 

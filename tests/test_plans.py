@@ -48,11 +48,16 @@ def test_first_per_key_is_cut_before_the_shuffle(spark, sf_dir):
     assert re.search(r"Exchange hashpartitioning\(rule_id.*\n.*WindowGroupLimit", text)
 
 
-@pytest.mark.parametrize("name", ["match_rules", "fan_out", "eval_custom_rules", "history_rows",
-                                  "retrieve_news", "join_context", "apply_rule_changes"])
+@pytest.mark.parametrize("name", [q for q in QUERIES if not q.startswith("stream")])
 def test_no_cross_joins(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    assert "BatchEvalPython" not in text
+
+
+@pytest.mark.parametrize("name", ["match_rules", "bars_1min", "load_watermarks"])
+def test_totals_combine_in_hash_tables(spark, sf_dir, name):
+    assert "SortAggregate" not in plan(QUERIES[name](spark, sf_dir))
 
 
 def test_upsert_is_an_anti_join(spark, sf_dir):
