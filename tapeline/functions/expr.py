@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -55,9 +55,3 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
-
-
-def select_schema(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Project to declared columns, adding the missing ones as typeless nulls."""
-    have = set(df.columns)
-    return df.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in columns])
