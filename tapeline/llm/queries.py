@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tapeline.llm import chat, lines
+from tapeline.llm import chat, lines, mixing, urls
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
+    "op7_url_regression": urls.query,
     "op8_line_frequency": lines.query,
+    "op9_golden_mix": mixing.query,
 }
 ORACLE = {
     "op1_chat_rotation": chat.SQL,
+    "op7_url_regression": urls.SQL,
     "op8_line_frequency": lines.SQL,
+    "op9_golden_mix": mixing.SQL,
 }
