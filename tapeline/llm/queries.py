@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tapeline.llm import chat, lines, mixing, urls
+from tapeline.llm import bpe, chat, lines, mixing, urls
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op7_url_regression": urls.query,
     "op8_line_frequency": lines.query,
     "op9_golden_mix": mixing.query,
+    "op10_segment_tree_bpe": bpe.query,
 }
 ORACLE = {
     "op1_chat_rotation": chat.SQL,
