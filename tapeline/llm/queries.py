@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tapeline.llm import bpe, chat, lines, mixing, perplexity, urls
+from tapeline.llm import bpe, chat, classlm, lines, mixing, perplexity, urls
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op2_kneser_ney_bands": perplexity.query,
+    "op3_brown_classes": classlm.query,
     "op7_url_regression": urls.query,
     "op8_line_frequency": lines.query,
     "op9_golden_mix": mixing.query,
