@@ -7,7 +7,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,8 @@ from tapeline.llm.common import read
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces and chunks that one Python worker remembers before it starts anew.
 MEMO = 400_000
+#: Characters of the texts whose chunks are learnt together.
+RUN = 4_000_000
 #: Pieces of up to this many bytes are merged many at a time.
 SHORT = 64
 #: ... so many, which bounds the memory of their trees.
@@ -179,114 +180,137 @@ def merge_many(pieces: list[bytes], size: int, m: Merges) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-class Known(NamedTuple):
-    """What is remembered of a chunk: its ids, the same as text, and what they decode to."""
-
-    ids: tuple[int, ...]
-    numerals: str
-    data: bytes
-
-
 class Coder:
     """Encodes and decodes whole texts; remembers a bounded number of pieces.
 
     A text is cut into chunks at every space between two characters that are not white
     space: the split pattern always starts a piece there, so the chunks' pieces are the
-    text's pieces, and chunks repeat far more often than texts. Decoding joins the bytes
-    of the ids, which is done once per remembered chunk.
+    text's pieces, and chunks repeat far more often than texts. Of a chunk it remembers
+    its ids, the same as text, and the bytes they decode to; ``inner`` chunks stand
+    after such a space, which is part of them, ``outer`` ones do not.
     """
 
     def __init__(self, tables: dict, memo: int = MEMO):
         self.merges, self.tables, self.memo = Merges(tables), tables, memo
+        self.numerals = {i: str(i) for i in tables["bytes"]}
         self.split = regex.compile(SPLIT)
         self.beside = re.compile(r" (?:\s|(?<=\s ))")  # a space next to other white space
         self.between = re.compile(r"(?<=\S) (?=\S)")
         special = sorted(tables["special"], key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.chunks: dict[str, Known] = {}
+        self.inner: dict[str, tuple] = {}
+        self.outer: dict[str, tuple] = {}
         self.pieces: dict[str, list[int]] = {}
 
-    def _known(self, ids: tuple[int, ...]) -> Known:
-        return Known(ids, ",".join(map(str, ids)), b"".join(map(self.tables["bytes"].__getitem__, ids)))
+    def _pieces(self, chunk: str, space: str) -> tuple[str, ...] | list[str]:
+        if chunk.isalpha():
+            return (space + chunk,)
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return space + chunk[:-1], chunk[-1]
+        return self.split.findall(space + chunk)
 
-    def _learn(self, chunks: set[str]) -> None:
-        gc.disable()  # millions of small objects without a cycle among them
-        try:
-            self._learn_all(chunks)
-        finally:
-            gc.enable()
+    def _known(self, ids: list[int]) -> tuple:
+        numerals, data = self.numerals, self.tables["bytes"]
+        return ids, ",".join([numerals[i] for i in ids]), b"".join([data[i] for i in ids])
 
-    def _learn_all(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > self.memo:
-            self.chunks.clear()
-        if len(self.pieces) > self.memo:
+    def _merge(self, new: set[str]) -> None:
+        if len(self.pieces) + len(new) > self.memo:
             self.pieces.clear()
-        find, pieces = self.split.findall, self.pieces
-        split = {c: find(c) for c in chunks}
         sized: dict[int, list[str]] = {}
-        for p in {p for ps in split.values() for p in ps}:
-            if p not in pieces:
-                n = len(p.encode())
-                sized.setdefault(0 if n > SHORT else max(4, 1 << (n - 1).bit_length()), []).append(p)
+        for p in new:
+            n = len(p.encode())
+            sized.setdefault(0 if n > SHORT else max(4, 1 << (n - 1).bit_length()), []).append(p)
         for size, ps in sized.items():
             if not size:
-                for p in ps:
-                    pieces[p] = merge_one(p.encode(), self.merges)
+                self.pieces.update((p, merge_one(p.encode(), self.merges)) for p in ps)
                 continue
             for at in range(0, len(ps), TOGETHER):
                 some = ps[at : at + TOGETHER]
                 done = merge_many([p.encode() for p in some], size, self.merges)
-                pieces.update(zip(some, done, strict=True))
-        for c, ps in split.items():
-            self.chunks[c] = self._known(
-                tuple(pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]])
-            )
+                self.pieces.update(zip(some, done, strict=True))
 
-    def chunked(self, text: str) -> list[str]:
+    def _learn(self, chunks: set[str], space: str, into: dict[str, tuple]) -> None:
+        gc.disable()  # many small objects without a cycle among them
+        try:
+            split = {c: self._pieces(c, space) for c in chunks}
+            need = {p for ps in split.values() for p in ps}
+            pieces = self.pieces
+            new = {p for p in need if p not in pieces}
+            if len(pieces) + len(new) > self.memo:
+                new = need  # the memory of pieces starts anew
+            self._merge(new)
+            for c, ps in split.items():
+                into[c] = self._known(pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]])
+        finally:
+            gc.enable()
+
+    def cut(self, text: str) -> list[str]:
         if self.beside.search(text) or text[0] == " " or text[-1] == " ":
-            parts = self.between.split(text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+            return self.between.split(text)
+        return text.split(" ")
 
-    def _plain(self, text: str) -> list[Known]:
+    def _plain(self, text: str) -> list[tuple]:
         if not text:
             return []
-        chunks, known = self.chunked(text), self.chunks
+        first, *rest = self.cut(text)
+        if first not in self.outer:
+            if len(self.outer) > self.memo // 4:
+                self.outer.clear()
+            self._learn({first}, "", self.outer)
+        known = self.inner
         try:
-            return [known[c] for c in chunks]
+            return [self.outer[first], *[known[c] for c in rest]]
         except KeyError:
-            new = {c for c in chunks if c not in known}
-            if len(known) + len(new) > self.memo:
-                new = set(chunks)  # the memory starts anew: learn all of them
-            self._learn(new)
-            return [known[c] for c in chunks]
+            self._learn({c for c in rest if c not in known}, " ", known)
+            return [self.outer[first], *[known[c] for c in rest]]
 
     def warm(self, texts: list[str | None]) -> None:
-        """Learns the chunks of many texts at once, as far as they fit."""
-        new: set[str] = set()
+        """Learns the chunks of some texts at once.
+
+        When the memory is full, what these texts do not need is forgotten; frequent
+        chunks stay, as nearly every run of texts needs them.
+        """
+        need: set[str] = set()
+        first: set[str] = set()
         for text in texts:
             if text and (self.special is None or not self.special.search(text)):
-                new.update(self.chunked(text))
-            if len(new) >= self.memo // 2:
-                break
-        self._learn({c for c in new if c not in self.chunks})
-
-    def encode(self, text: str | None) -> list[Known]:
-        """A text's ids in groups; a null text has none. Special strings keep their id."""
+                head, *rest = self.cut(text)
+                first.add(head)
+                need.update(rest)
+        if len(self.inner) + len(need) > self.memo:
+            self.inner = {c: k for c in need if (k := self.inner.get(c)) is not None}
+        if len(self.outer) + len(first) > self.memo // 4:
+            self.outer.clear()
+        self._learn({c for c in need if c not in self.inner}, " ", self.inner)
+        self._learn({c for c in first if c not in self.outer}, "", self.outer)
+
+    def encode(self, text: str | None) -> list[tuple]:
+        """A text's ids in groups (ids, numerals, bytes); a null text has none.
+
+        Special strings keep their id.
+        """
         if not text or self.special is None or not self.special.search(text):
             return self._plain(text or "")
         out, at = [], 0
         for hit in self.special.finditer(text):
             out += self._plain(text[at : hit.start()])
-            out.append(self._known((self.tables["special"][hit[0]],)))
+            out.append(self._known([self.tables["special"][hit[0]]]))
             at = hit.end()
         return out + self._plain(text[at:])
 
     @staticmethod
-    def decode(groups: list[Known]) -> str:
+    def decode(groups: list[tuple]) -> str:
         """Text of ids: their bytes joined; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join([g.data for g in groups]).decode("utf-8", "replace")
+        return b"".join([g[2] for g in groups]).decode("utf-8", "replace")
+
+
+def run_of(texts: list[str | None], at: int) -> int:
+    """How many texts from ``at`` on are learnt together: ``RUN`` characters, one text at least."""
+    size = n = 0
+    while at + n < len(texts) and (not n or size < RUN):
+        size += len(texts[at + n] or "")
+        n += 1
+    return n
 
 
 _CODERS: dict[str, Coder] = {}
@@ -326,14 +350,18 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Tr
         coder = _coder(handle, key)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            coder.warm(texts)
             counts, ids, digests, decoded = [], [], [], []
-            for t in texts:
+            left = 0
+            for at, t in enumerate(texts):
+                if not left:
+                    left = run_of(texts, at)
+                    coder.warm(texts[at : at + left])
+                left -= 1
                 groups = coder.encode(t)
-                counts.append(sum([len(g.ids) for g in groups]))
-                digests.append(hashlib.sha256(",".join([g.numerals for g in groups]).encode()).hexdigest())
+                counts.append(sum([len(g[0]) for g in groups]))
+                digests.append(hashlib.sha256(",".join([g[1] for g in groups]).encode()).hexdigest())
                 if keep_ids:
-                    ids.append([i for g in groups for i in g.ids])
+                    ids.append([i for g in groups for i in g[0]])
                 decoded.append(hashlib.sha256(coder.decode(groups).encode()).hexdigest())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             columns.append(pa.array(counts, pa.int64()))
