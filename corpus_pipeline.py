@@ -3,8 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tapeline.llm import bpe, lines, minhash, mixing, perplexity
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents inside their language's perplexity band that pass the base rules."""
+    return perplexity.judge(docs).filter("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source; n_chars follows the text."""
+    cleaned = lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.deduplicated(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the decoded text."""
+    return bpe.with_ids(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary()).drop("text")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", mix),
+    ("bpe_encoding", encode),
+]
 
 #: The perplexity model and the byte-pair merges have no SQL form; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tapeline.llm import bpe, chat, classlm, covertree, lines, minhash, mixing, perplexity, urls
+from tapeline.llm import bpe, chat, classlm, covertree, lines, minhash, mixing, perplexity, urls, wrappers
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
     "op2_kneser_ney_bands": perplexity.query,
     "op3_brown_classes": classlm.query,
+    "op4_union_free_wrappers": wrappers.query,
     "op5_minhash_join": minhash.query,
     "op6_cover_tree_join": covertree.query,
     "op7_url_regression": urls.query,
