@@ -1,30 +1,54 @@
-"""Equi-joins of a large table with a side that many of its rows share."""
+"""Joins whose keys are shared by a large part of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A side up to this many rows is broadcast; copies included that is a few dozen MB.
-BROADCAST_ROWS = 20_000
-BROADCAST_SLICES = 8
+#: Rows of one key that one task joins, about.
+ROWS = 50_000
+#: Rows of either side that one task of ``every_pair`` pairs, about.
+LEFT, RIGHT = 10_000, 1_000
 
 
-def spread(big: DataFrame, shared: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``_slice`` column to join on, next to the join's own keys.
+def _dealt(salt: str, slices: Column) -> Column:
+    return F.pmod(F.xxhash64(salt), slices).cast("int")
 
-    Rows of ``big`` are dealt to slices by a hash of ``salt`` and ``shared`` is copied
-    into every slice, so the rows of one key, or all rows when ``_slice`` is the only
-    key, are worked on by many tasks. The size of ``shared`` is measured first: a small
-    one is broadcast and ``big`` is not shuffled at all; beyond that both are shuffled
-    with as many slices as the cluster has shuffle partitions.
+
+def join_hot(big: DataFrame, shared: DataFrame, on: list[str], salt: str) -> DataFrame:
+    """Inner equi-join; keys with more than ``ROWS`` rows of ``big`` are worked on by many tasks.
+
+    One aggregate finds those keys and their slices. Rows of ``big`` with such a key are
+    dealt to its slices by a hash of ``salt``, rows of ``shared`` are copied to them; all
+    other keys have one slice and no copies. The list of hot keys has at most one row per
+    ``ROWS`` rows of ``big``, which bounds what is broadcast.
     """
-    small = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    slices = BROADCAST_SLICES if small else max(
-        64, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = (
+        big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > ROWS)
+        .select(*on, F.ceil(F.col("_n") / ROWS).cast("int").alias("_slices"))
+    )
+    slices = F.coalesce("_slices", F.lit(1))
+    dealt = big.join(F.broadcast(hot), on, "left").withColumn("_slice", _dealt(salt, slices))
+    copied = shared.join(F.broadcast(hot), on, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
+    )
+    return dealt.drop("_slices").join(copied.drop("_slices"), [*on, "_slice"]).drop("_slice")
+
+
+def every_pair(left: DataFrame, right: DataFrame, left_salt: str, right_salt: str) -> DataFrame:
+    """Each row of ``left`` with each of ``right``, where that is what the result holds.
+
+    Both sides are counted as part of the query and cut into slices of bounded size; a
+    pair of slices is one join key, so the copies follow the measured sizes alone.
+    """
+    def parts(df: DataFrame, rows: int) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int")).scalar()
+
+    rows, columns = parts(left, LEFT), parts(right, RIGHT)
+    dealt = left.withColumn("_i", _dealt(left_salt, rows)).withColumn(
+        "_j", F.explode(F.sequence(F.lit(0), columns - 1))
     )
-    dealt = big.withColumn("_slice", F.pmod(F.xxhash64(salt), F.lit(slices)).cast("int"))
-    copied = shared.withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    other = right.withColumn("_j", _dealt(right_salt, columns)).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), rows - 1))
     )
-    return dealt, F.broadcast(copied) if small else copied
+    return dealt.join(other, ["_i", "_j"]).drop("_i", "_j")

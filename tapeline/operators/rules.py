@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.functions.expr import event_id, guarded_ratio, iso, iso_seconds, order_key
-from tapeline.functions.joins import spread
+from tapeline.functions.joins import every_pair, join_hot
 from tapeline.functions.scans import first_row, greedy_cooldown, previous_non_null
 
 MEDIUM, HIGH = "MEDIUM", "HIGH"
@@ -164,8 +164,11 @@ def system_cooldown(
     """Alerts that get through one cooldown per (symbol, rule).
 
     Alerts of one second compete first; only the earliest quote of a second can fire.
+    Without a cooldown every alert gets through, those of one second too.
     ``alerts`` is read twice (candidates and payload): hand in a stored table.
     """
+    if cooldown_min <= 0:
+        return alerts
     keys = ["symbol", "rule_name"]
     first = first_row(
         alerts.withColumn("ts_s", iso_seconds(F.col("event_ts"))), [*keys, "ts_s"], ["quote_id"]
@@ -209,21 +212,92 @@ def rule_subjects(rules: DataFrame) -> DataFrame:
 
 
 def match_rules(quotes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Quote rows paired with the rules that watch them.
+    """Quote rows paired with the rules that watch them, whether these fire or not.
 
-    Both branches are equi-joins spread over slices, so neither the quotes of one
-    symbol nor all quotes for a wildcard rule meet in one task. Add the firing condition
-    right after this call: it is evaluated inside the join and non-firing pairs never
-    leave it.
+    By meaning a wildcard rule watches every quote; to evaluate rules use
+    ``candidates``, which does not form the pairs that cannot fire.
     """
     subjects = rule_subjects(rules).drop("symbols")
-    sliced, listed = spread(quotes, subjects.filter(~F.col("for_all")), "quote_id")
-    by_symbol = sliced.join(
-        listed.withColumnRenamed("subject", "symbol"), ["symbol", "_slice"]
+    everywhere = subjects.filter("for_all").drop("subject", "for_all")
+    return _by_symbol(quotes, subjects).unionByName(
+        every_pair(quotes, everywhere, "quote_id", "rule_id")
     )
-    sliced, everywhere = spread(quotes, subjects.filter("for_all"), "quote_id")
-    by_wildcard = sliced.join(everywhere.drop("subject"), "_slice")
-    return by_symbol.unionByName(by_wildcard).drop("_slice", "for_all")
+
+
+def _by_symbol(quotes: DataFrame, subjects: DataFrame) -> DataFrame:
+    listed = subjects.filter(~F.col("for_all")).drop("for_all")
+    return join_hot(quotes, listed.withColumnRenamed("subject", "symbol"), ["symbol"], "quote_id")
+
+
+#: Steps of the scale that thresholds are sorted into per unit of its argument.
+CELLS_PER_UNIT = 4
+
+
+def _cell(x: Column) -> Column:
+    """Number of the scale step that a value falls into; it grows with the value.
+
+    The inverse hyperbolic sine is linear near zero and logarithmic far from it, so all
+    doubles fall into fewer than 6,000 steps. Not-a-number compares above all values.
+    """
+    step = F.floor(F.asinh(F.when(F.abs(x) < 1e300, x).otherwise(F.signum(x) * 1e300)) * CELLS_PER_UNIT)
+    return F.when(F.isnan(x), F.lit(10_000)).otherwise(step).cast("int")
+
+
+def _side(operator: Column) -> Column:
+    """Which cells can fire: those up to the value, from it on, or passed on the way."""
+    return (
+        F.when(operator.isin(">", ">="), "above").when(operator.isin("<", "<="), "below")
+        .when(operator == "CROSSES_UP", "up").when(operator == "CROSSES_DOWN", "down")
+    )
+
+
+def candidates(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """Quotes with the rules that may fire on them, with the rule's current and previous value.
+
+    ``values`` has f_<field> and prev_f_<field>. Rules that list symbols meet the quotes
+    of those symbols. Wildcard rules are sorted into cells by field, operator and
+    threshold; a quote goes to the cells that its value reaches and meets the rules
+    there, so of the pairs that do not fire only those of the outermost cell are formed.
+    The list of non-empty cells is bounded by the scale, whatever the number of rules.
+    """
+    subjects = rule_subjects(rules).drop("symbols")
+    names = [f"{p}{f}" for f in FIELDS for p in ("f_", "prev_f_")]
+    listed = _by_symbol(values, subjects).withColumns(
+        {"current": _by_field("f_"), "previous": _by_field("prev_f_")}
+    ).drop(*names)
+
+    everywhere = subjects.filter("for_all").drop("subject", "for_all").withColumns(
+        {"side": _side(F.col("operator")), "cell": _cell(F.col("threshold"))}
+    ).filter("side is not null and cell is not null")
+    cells = everywhere.groupBy("field").agg(F.collect_set(F.struct("side", "cell")).alias("cells"))
+    per_field = F.inline(F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.col(f"f_{f}").alias("current"),
+            F.col(f"prev_f_{f}").alias("previous"),
+        )
+        for f in FIELDS
+    ]))
+    long = values.select(*[c for c in values.columns if c not in names], per_field).filter(
+        "current is not null"
+    )
+    now, before = _cell(F.col("current")), _cell(F.col("previous"))
+
+    def reached(c: Column) -> Column:
+        side, cell = c["side"], c["cell"]
+        return F.coalesce(
+            F.when(side == "above", cell <= now).when(side == "below", cell >= now)
+            .when(side == "up", (before <= cell) & (cell <= now))
+            .otherwise((now <= cell) & (cell <= before)),
+            F.lit(False),
+        )
+
+    placed = (
+        long.join(F.broadcast(cells), "field")
+        .withColumn("at", F.explode(F.filter("cells", reached)))
+        .select(*long.columns, "at.side", "at.cell")
+    )
+    wild = join_hot(placed, everywhere, ["field", "side", "cell"], "quote_id").drop("side", "cell")
+    return listed.unionByName(wild)
 
 
 def first_and_last(n: Column, first_s: Column, last_s: Column) -> list[Column]:
@@ -328,11 +402,10 @@ def eval_custom_rules(
         "quote_id", "symbol", "event_ts", "ts_s",
         *[f"f_{f}" for f in FIELDS], *[f"prev_f_{f}" for f in FIELDS],
     )
-    pairs = match_rules(values, rules.filter("rule_id is not null and status = 'ACTIVE'"))
-    current, previous = _by_field("f_"), _by_field("prev_f_")
+    pairs = candidates(values, rules.filter("rule_id is not null and status = 'ACTIVE'"))
     return pairs.filter(
-        condition(current, F.col("operator"), F.col("threshold"), previous)
-    ).withColumn("triggered_value", current).select(*MATCH_COLUMNS)
+        condition(F.col("current"), F.col("operator"), F.col("threshold"), F.col("previous"))
+    ).withColumn("triggered_value", F.col("current")).select(*MATCH_COLUMNS)
 
 
 def once_rules(matches: DataFrame) -> DataFrame:

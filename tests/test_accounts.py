@@ -27,9 +27,10 @@ def people(spark):
     return users, prefs, watch
 
 
-@pytest.mark.parametrize("broadcast_rows", [20_000, 0])
-def test_fan_out_equals_brute_force(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr("tapeline.functions.joins.BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("rows", [50_000, 1])
+def test_fan_out_equals_brute_force(spark, monkeypatch, rows):
+    for name in ("ROWS", "LEFT", "RIGHT"):
+        monkeypatch.setattr(f"tapeline.functions.joins.{name}", rows)
     subs = routing.resolve_subscribers(*people(spark))
     assert sorted((r.subject, r.user_id) for r in subs.collect()) == [("*", "u1"), ("A", "u2"), ("B", "u2")]
     alerts = spark.createDataFrame([alert(i, s) for i, s in enumerate("AABC")], ALERT)

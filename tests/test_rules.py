@@ -190,9 +190,10 @@ def test_crossing_uses_the_previous_quote_of_the_symbol(spark):
     assert got == [("r1", "AAPL", "10:02")]
 
 
-@pytest.mark.parametrize("broadcast_rows", [20_000, 0])
-def test_match_rules_equals_brute_force(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr("tapeline.functions.joins.BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_match_rules_equals_brute_force(spark, monkeypatch, rows):
+    for name in ("ROWS", "LEFT", "RIGHT"):
+        monkeypatch.setattr(f"tapeline.functions.joins.{name}", rows)
     quotes = [dict(symbol=f"S{i % 4}") for i in range(40)]
     overrides = [dict(rule_id="a", symbols=["*"]), dict(rule_id="b", symbols=["S1", "S2"]),
                  dict(rule_id="c", symbols=["*", "S3"]), dict(rule_id="d", symbols=["none"])]
@@ -209,3 +210,36 @@ def test_system_cooldown_exactly_an_hour_fires_again(spark):
     alerts = rules.eval_system_rules(frame(spark, *[at(m) for m in (0, 59, 60, 119, 120)]))
     cooled = rules.system_cooldown(alerts).filter("rule_name = 'price_zscore'").collect()
     assert sorted(r.event_ts[11:16] for r in cooled) == ["10:00", "11:00", "12:00"]
+
+
+def test_no_system_cooldown_lets_every_alert_pass(spark):
+    quotes = [at(0), at(0), at(1)]
+    alerts = rules.eval_system_rules(frame(spark, *quotes))
+    assert rules.system_cooldown(alerts, 0).count() == alerts.count() > 0
+
+
+@pytest.mark.parametrize("rows", [50_000, 3])
+def test_wildcard_rules_fire_as_in_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr("tapeline.functions.joins.ROWS", rows)
+    prices = [-1e308, -5.0, 0.0, 1e-9, 2.0, 2.0, 7.5, 7.5000001, 1e6, 1e308, 3.0, -2.0]
+    quotes = [dict(at(m), price=p) for m, p in enumerate(prices)]
+    operators = [">", "<", ">=", "<=", "CROSSES_UP", "CROSSES_DOWN"]
+    limits = [-1e307, -5.0, 0.0, 2.0, 7.5, 1e6, 1e308]
+    overrides = [
+        dict(rule_id=f"{o} {t}", symbols=["*"], operator=o, threshold=t)
+        for o in operators for t in limits
+    ]
+    got = custom(spark, quotes, *overrides)
+    want = set()
+    for i, p in enumerate(prices):
+        for o in operators:
+            for t in limits:
+                before = prices[i - 1] if i else None
+                fires = {
+                    ">": p > t, "<": p < t, ">=": p >= t, "<=": p <= t,
+                    "CROSSES_UP": before is not None and before <= t < p,
+                    "CROSSES_DOWN": before is not None and before >= t > p,
+                }[o]
+                if fires:
+                    want.add((f"{o} {t}", f"10:{i:02d}"))
+    assert {(r[0], r[2]) for r in got} == want and len(got) == len(want)
