@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -55,3 +55,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def stamped(df: DataFrame, name: str, at: str | None) -> DataFrame:
+    """``df`` with an audit column of the run's time; the caller's time keeps reruns equal."""
+    return df if at is None else df.withColumn(name, F.lit(at).cast("timestamp"))

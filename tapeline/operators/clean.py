@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.expr import all_of
+from tapeline.functions.expr import all_of, stamped
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 FEED = "yfinance"  # fixed value stored in data_source
 
 
-def clean_ohlcv(bars: DataFrame) -> DataFrame:
-    """Usable bars only; adjusted close falls back to close and says so."""
-    return bars.filter(all_of([F.col(c) > 0 for c in OHLCV])).select(
+def clean_ohlcv(bars: DataFrame, at: str | None = None) -> DataFrame:
+    """Usable bars only; adjusted close falls back to close and says so.
+
+    ``at`` is the time of the run, stored in cleaned_at.
+    """
+    cleaned = bars.filter(all_of([F.col(c) > 0 for c in OHLCV])).select(
         "symbol", "trade_date", "open", "high", "low", "close",
         F.coalesce("adj_close", "close").alias("adj_close"),
         "volume", "dividends", "stock_splits",
@@ -22,15 +25,19 @@ def clean_ohlcv(bars: DataFrame) -> DataFrame:
         F.col("adj_close").isNotNull().alias("is_complete"),
         F.lit(FEED).alias("data_source"),
     )
+    return stamped(cleaned, "cleaned_at", at)
 
 
 def _not_blank(name: str) -> Column:
     return F.length(F.trim(name)) > 0
 
 
-def clean_news(articles: DataFrame) -> DataFrame:
-    """Rows with a title and url, with the headline hash and a normal source name."""
-    return articles.filter(_not_blank("title") & _not_blank("url")).select(
+def clean_news(articles: DataFrame, at: str | None = None) -> DataFrame:
+    """Rows with a title and url, with the headline hash and a normal source name.
+
+    ``at`` is the time of the run, stored in cleaned_at.
+    """
+    cleaned = articles.filter(_not_blank("title") & _not_blank("url")).select(
         "article_id",
         F.md5(F.trim("title")).alias("dedup_hash"),
         "symbol",
@@ -38,6 +45,7 @@ def clean_news(articles: DataFrame) -> DataFrame:
         "title", "description", "url", "category", "published_at", "fetched_at",
         F.to_date("published_at").alias("published_date"),
     )
+    return stamped(cleaned, "cleaned_at", at)
 
 
 def dedup_rank(cleaned: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeline.functions.scans import first_row
+from tapeline.functions.expr import stamped
 
 
 LOOKBACK_DAYS = 60  # fixed value: calendar days read before the snapshot day
@@ -49,15 +50,18 @@ def _context_columns(df: DataFrame, as_of_date: Column) -> DataFrame:
     }).select("symbol", as_of_date.alias("as_of_date"), *CONTEXT_FIELDS)
 
 
-def build_context(fact: DataFrame, symbols: DataFrame, as_of_key: int) -> DataFrame:
+def build_context(
+    fact: DataFrame, symbols: DataFrame, as_of_key: int, at: str | None = None
+) -> DataFrame:
     """Snapshot of one day: short windows run over the lookback slice, then the day is kept.
 
     The lookback filter reaches the scan; the day filter cannot, since windows need the
-    days before it.
+    days before it. ``at`` is the time of the run, stored in updated_at.
     """
     recent = fact.filter(F.col("date_key").between(lookback_key(as_of_key), as_of_key))
     sliced = rolling_5d(recent.join(symbols, "symbol_key")).filter(F.col("date_key") == as_of_key)
-    return _context_columns(sliced, F.to_date(F.col("date_key").cast("string"), "yyyyMMdd"))
+    day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    return stamped(_context_columns(sliced, day), "updated_at", at)
 
 
 def context_history(fact: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -60,8 +60,12 @@ def easter_sunday(year: Column) -> Column:
 
 
 def market_holiday(date: Column) -> Column:
-    """True on an observed exchange holiday."""
-    return any_of([
+    """True on an observed exchange holiday, false on any other day.
+
+    A holiday that is not observed in a year has no date; it must not make the
+    other days of that year unknown.
+    """
+    return F.coalesce(any_of([
         _fixed_holiday(date, 1, 1),
         _nth_weekday(date, 1, MON, 3),
         _nth_weekday(date, 2, MON, 3),
@@ -72,7 +76,7 @@ def market_holiday(date: Column) -> Column:
         _nth_weekday(date, 9, MON, 1),
         _nth_weekday(date, 11, THU, 4),
         _fixed_holiday(date, 12, 25),
-    ])
+    ]), F.lit(False))
 
 
 def calendar_days(spark: SparkSession, start: str, end: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from tapeline.functions.expr import guarded_ratio
+from tapeline.functions.expr import guarded_ratio, stamped
 from tapeline.functions.scans import complete_groups
 
 # MACD spans and the shortest history that gets one.
@@ -200,7 +200,8 @@ def window_indicators(joined: DataFrame) -> DataFrame:
     return rsi_from_averages(bollinger_bands(zscores(rolled))).drop("prev_close")
 
 
-def build_fact(joined: DataFrame) -> DataFrame:
+def build_fact(joined: DataFrame, at: str | None = None) -> DataFrame:
+    """The daily fact; ``at`` is the time of the run, stored in loaded_at."""
     wide = window_indicators(joined)
     carried = [c for c in FACT_COLUMNS if not c.startswith("macd_")]
-    return macd(wide.select(*carried)).select(*FACT_COLUMNS)
+    return stamped(macd(wide.select(*carried)).select(*FACT_COLUMNS), "loaded_at", at)

@@ -64,6 +64,7 @@ def round_doubles(df: DataFrame) -> DataFrame:
 
 BAR = "open high low close"
 WRITTEN_AT = d.NOW
+_AT = f"TIMESTAMP '{d.NOW[:10]} {d.NOW[11:19]}'"
 FACT_KEY = "symbol_key, date_key"
 
 # --- sources and normalisation --------------------------------------------------
@@ -211,18 +212,18 @@ def validate_symbols(spark, sf_dir):
 
 @query(f"""
   SELECT symbol, trade_date, {rounded(BAR + ' adj_close dividends stock_splits vwap_estimate')},
-         volume, is_complete, data_source FROM silver""")
+         volume, is_complete, data_source, {_AT} AS cleaned_at FROM silver""")
 def clean_ohlcv(spark, sf_dir):
-    return d.silver_bars(spark, sf_dir)
+    return clean.clean_ohlcv(d.bars_raw(spark, sf_dir), WRITTEN_AT)
 
 
 def _news_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("description_md5", F.md5("description")).drop("description")
 
 
-@query("SELECT * FROM clean_news")
+@query(f"SELECT *, {_AT} AS cleaned_at FROM clean_news")
 def clean_news(spark, sf_dir):
-    return _news_columns(clean.clean_news(d.articles(spark, sf_dir)))
+    return _news_columns(clean.clean_news(d.articles(spark, sf_dir), WRITTEN_AT))
 
 
 @query("SELECT * FROM silver_news")
@@ -244,45 +245,49 @@ def dedup_incremental(spark, sf_dir):
 
 
 @query("""
-  SELECT t.*, b.bars, b.volume FROM dim_date t JOIN (
+  SELECT t.*, coalesce(b.bars, 0) AS bars, coalesce(b.volume, 0) AS volume
+  FROM dim_date t LEFT JOIN (
     SELECT trade_date, count(*) AS bars, CAST(sum(volume) AS BIGINT) AS volume
     FROM bars_raw GROUP BY 1) b ON t.full_date = b.trade_date""")
 def dim_date(spark, sf_dir):
-    """Calendar attributes of every day with bars."""
-    return _days(spark, sf_dir, dims.dim_date(spark))
+    """Calendar attributes of every day, with the bars of that day."""
+    return _days(spark, sf_dir)
 
 
-def _days(spark, sf_dir, calendar):
+def _days(spark, sf_dir):
     per_day = d.bars_raw(spark, sf_dir).groupBy(F.col("trade_date").alias("full_date")).agg(
         F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume")
     )
-    return calendar.join(per_day, "full_date")
+    return _counted(dims.dim_date(spark), per_day, "full_date", "bars", "volume")
+
+
+def _counted(dimension: DataFrame, facts: DataFrame, on: str, *counts: str) -> DataFrame:
+    """Every row of a dimension; counts are zero where no fact has its key."""
+    return dimension.join(facts, on, "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in counts}
+    )
 
 
 @query("""
   SELECT year, is_trading_day, max(trading_day_number) AS last_number, count(*) AS days,
-         CAST(sum(bars) AS BIGINT) AS bars FROM (
-    SELECT t.*, b.bars FROM dim_date t JOIN (
+         CAST(sum(coalesce(bars, 0)) AS BIGINT) AS bars FROM (
+    SELECT t.*, b.bars FROM dim_date t LEFT JOIN (
       SELECT trade_date, count(*) AS bars FROM bars_raw GROUP BY 1) b
       ON t.full_date = b.trade_date) GROUP BY 1, 2""")
 def trading_day_number(spark, sf_dir):
-    days = _days(spark, sf_dir, dims.dim_date(spark))
-    return days.groupBy("year", "is_trading_day").agg(
+    return _days(spark, sf_dir).groupBy("year", "is_trading_day").agg(
         F.max("trading_day_number").alias("last_number"), F.count(F.lit(1)).alias("days"),
         F.sum("bars").alias("bars"),
     )
 
 
 @query("""
-  SELECT full_date, b.bars FROM dim_date t JOIN (
+  SELECT full_date, coalesce(b.bars, 0) AS bars FROM dim_date t LEFT JOIN (
     SELECT trade_date, count(*) AS bars FROM bars_raw GROUP BY 1) b ON t.full_date = b.trade_date
   WHERE is_us_market_holiday""")
 def market_holidays(spark, sf_dir):
-    """Bars dated on an exchange holiday."""
-    bars_ = d.bars_raw(spark, sf_dir).filter(dims.market_holiday(F.col("trade_date")))
-    return bars_.groupBy(F.col("trade_date").alias("full_date")).agg(
-        F.count(F.lit(1)).alias("bars")
-    )
+    """Every exchange holiday of the calendar, with the bars dated on it."""
+    return _days(spark, sf_dir).filter("is_us_market_holiday").select("full_date", "bars")
 
 
 @query("""
@@ -294,15 +299,23 @@ def market_holidays(spark, sf_dir):
          CASE WHEN k BETWEEN 930 AND 1559 THEN (k // 100) * 60 + k % 100 - 570 END
            AS session_minute,
          k BETWEEN 930 AND 1029 AS is_opening_hour, k BETWEEN 1500 AND 1559 AS is_closing_hour,
-         quotes
-  FROM (SELECT CAST(hour(ts) * 100 + minute(ts) AS INTEGER) AS k, count(*) AS quotes
-        FROM events GROUP BY 1)""")
+         coalesce(q.quotes, 0) AS quotes
+  FROM (SELECT CAST(h * 100 + m AS INTEGER) AS k FROM range(24) a(h), range(60) b(m)) t
+  LEFT JOIN (SELECT CAST(hour(ts) * 100 + minute(ts) AS INTEGER) AS k, count(*) AS quotes
+        FROM events GROUP BY 1) q USING (k)""")
 def dim_time(spark, sf_dir):
-    """Quotes per minute of the day with its market session."""
+    """Every minute of the day with its market session and quotes."""
     per_minute = d.source(spark, sf_dir, "events", "ts").groupBy(
         (F.hour("ts") * 100 + F.minute("ts")).alias("time_key")
     ).agg(F.count(F.lit(1)).alias("quotes"))
-    return dims.dim_time(spark).join(per_minute, "time_key")
+    return _counted(dims.dim_time(spark), per_minute, "time_key", "quotes")
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(
+        "(" + ", ".join(f"{x}::DOUBLE" if isinstance(x, float) else repr(x) for x in r) + ")"
+        for r in rows
+    )
 
 
 _RULE_KEY = "list_position(['price_zscore', 'volume_zscore', 'volume_ratio', " \
@@ -310,46 +323,41 @@ _RULE_KEY = "list_position(['price_zscore', 'volume_zscore', 'volume_ratio', " \
 
 
 @query(f"""
-  SELECT k.rule_code, k.severity_if_alone, k.threshold_default::DOUBLE AS threshold_default,
-         count(*) AS alerts
-  FROM alerts a JOIN (VALUES (1, 'PRICE_Z', 3.0, 'MEDIUM'), (2, 'VOLUME_Z', 3.0, 'MEDIUM'),
-    (3, 'VOLUME_RATIO', 3.5, 'MEDIUM'), (4, 'BOLLINGER', 1.0, 'MEDIUM'), (5, 'RSI', 80.0, 'LOW'),
-    (6, 'INTRADAY', 5.0, 'LOW')) k(rule_key, rule_code, threshold_default, severity_if_alone)
-    ON k.rule_key = {_RULE_KEY} GROUP BY 1, 2, 3""")
+  SELECT k.*, coalesce(n.alerts, 0) AS alerts
+  FROM (VALUES {_values(dims.RULES)}) k(rule_key, rule_code, rule_name, formula_description,
+    threshold_default, severity_if_alone)
+  LEFT JOIN (SELECT {_RULE_KEY} AS rule_key, count(*) AS alerts FROM alerts a GROUP BY 1) n
+    USING (rule_key)""")
 def dim_rule(spark, sf_dir):
-    """Alerts per rule of the lookup."""
+    """Every rule of the lookup with its alerts."""
     order = ["price_zscore", "volume_zscore", "volume_ratio", "bollinger_breakout",
              "rsi_extreme", "intraday_range"]
     key = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("rule_name"))
-    counted = d.alerts(spark, sf_dir).groupBy(key.cast("int").alias("rule_key")).agg(
+    per_rule = d.alerts(spark, sf_dir).groupBy(key.cast("int").alias("rule_key")).agg(
         F.count(F.lit(1)).alias("alerts")
     )
-    return counted.join(dims.dim_rule(spark), "rule_key").select(
-        "rule_code", "severity_if_alone", "threshold_default", "alerts"
-    )
+    return _counted(dims.dim_rule(spark), per_rule, "rule_key", "alerts")
 
 
-@query("""
-  SELECT k.anomaly_type, k.risk_level, sum(n)::BIGINT AS alerts FROM (
+@query(f"""
+  SELECT k.*, coalesce(n.alerts, 0) AS alerts
+  FROM (VALUES {_values(dims.ANOMALY_TYPES)}) k(anomaly_type_key, anomaly_type, anomaly_category,
+    description, typical_cause, risk_level)
+  LEFT JOIN (
     SELECT CASE WHEN rule_name LIKE 'volume%' THEN 'VOLUME_SURGE'
                 WHEN rule_name = 'price_zscore' THEN 'PRICE_SPIKE' ELSE upper(rule_name) END
-             AS anomaly_type, count(*) AS n FROM alerts GROUP BY 1) a
-  JOIN (VALUES ('PRICE_SPIKE', 'HIGH'), ('PRICE_DROP', 'HIGH'), ('VOLUME_SURGE', 'MEDIUM'),
-    ('BOLLINGER_BREAKOUT', 'MEDIUM'), ('RSI_EXTREME', 'MEDIUM'), ('INTRADAY_RANGE', 'LOW'))
-    k(anomaly_type, risk_level) USING (anomaly_type) GROUP BY 1, 2""")
+             AS anomaly_type, count(*) AS alerts FROM alerts GROUP BY 1) n USING (anomaly_type)""")
 def dim_anomaly_type(spark, sf_dir):
-    """Alerts per anomaly type of the lookup."""
+    """Every anomaly type of the lookup with its alerts."""
     kind = (
         F.when(F.startswith("rule_name", F.lit("volume")), "VOLUME_SURGE")
         .when(F.col("rule_name") == "price_zscore", "PRICE_SPIKE")
         .otherwise(F.upper("rule_name"))
     )
-    counted = d.alerts(spark, sf_dir).groupBy(kind.alias("anomaly_type")).agg(
+    per_type = d.alerts(spark, sf_dir).groupBy(kind.alias("anomaly_type")).agg(
         F.count(F.lit(1)).alias("alerts")
     )
-    return counted.join(dims.dim_anomaly_type(spark), "anomaly_type").select(
-        "anomaly_type", "risk_level", "alerts"
-    )
+    return _counted(dims.dim_anomaly_type(spark), per_type, "anomaly_type", "alerts")
 
 
 @query("SELECT * FROM snapshot_2")
@@ -456,10 +464,10 @@ _FACT = [c for c in indicators.FACT_COLUMNS
 
 @query(f"""
   SELECT {FACT_KEY}, i.volume, 'yfinance' AS data_source, round(vwap_estimate, 6) AS vwap,
-         {rounded(' '.join(_FACT))}
+         {rounded(' '.join(_FACT))}, {_AT} AS loaded_at
   FROM indicators i JOIN macd m USING (symbol_key, date_key)""")
 def build_fact(spark, sf_dir):
-    return indicators.build_fact(d.joined_bars(spark, sf_dir))
+    return indicators.build_fact(d.joined_bars(spark, sf_dir), WRITTEN_AT)
 
 
 # --- context ----------------------------------------------------------------------------
@@ -481,11 +489,12 @@ def rolling_5d(spark, sf_dir):
 _CTX = " ".join([*CONTEXT, "mean_volume_5d"])
 
 
-@query(f"""SELECT symbol, as_of_date, {rounded(_CTX)} FROM context_history
+@query(f"""SELECT symbol, as_of_date, {rounded(_CTX)}, {_AT} AS updated_at FROM context_history
            WHERE as_of_date = DATE '2021-06-01'""")
 def build_context(spark, sf_dir):
     return context.build_context(
-        d.window_fact(spark, sf_dir), dims.active_symbols(d.dim_symbol(spark, sf_dir)), 20210601
+        d.window_fact(spark, sf_dir), dims.active_symbols(d.dim_symbol(spark, sf_dir)), 20210601,
+        WRITTEN_AT,
     )
 
 
@@ -946,25 +955,23 @@ def judgement_counts(spark, sf_dir):
     return verdicts.judgement_counts(_confirmed(spark, sf_dir))
 
 
-@query("""
-  SELECT k.category_code, k.typical_price_impact, count(*) AS alerts FROM confirmed c
-  JOIN (VALUES ('NEWS_EXPLAINED', 'HIGH'), ('UNEXPLAINED', 'VARIES'), ('UNCERTAIN', 'N/A'))
-    k(category_code, typical_price_impact)
-    ON k.category_code = CASE WHEN judgement = 'EXPLAINED' THEN 'NEWS_EXPLAINED'
-                              ELSE judgement END GROUP BY 1, 2""")
+@query(f"""
+  SELECT k.*, coalesce(n.alerts, 0) AS alerts
+  FROM (VALUES {_values(dims.NEWS_CATEGORIES)}) k(category_key, category_code, category_name,
+    description, typical_price_impact)
+  LEFT JOIN (
+    SELECT CASE WHEN judgement = 'EXPLAINED' THEN 'NEWS_EXPLAINED' ELSE judgement END
+             AS category_code, count(*) AS alerts FROM confirmed GROUP BY 1) n
+    USING (category_code)""")
 def dim_news_category(spark, sf_dir):
-    """Confirmed alerts per verdict category of the lookup."""
+    """Every verdict category of the lookup with its confirmed alerts."""
     code = F.when(F.col("judgement") == "EXPLAINED", "NEWS_EXPLAINED").otherwise(
         F.col("judgement")
     )
-    counted = _confirmed(spark, sf_dir).groupBy(code.alias("category_code")).agg(
+    per_code = _confirmed(spark, sf_dir).groupBy(code.alias("category_code")).agg(
         F.count(F.lit(1)).alias("alerts")
     )
-    return counted.join(dims.dim_news_category(spark), "category_code").select(
-        "category_code", "typical_price_impact", "alerts"
-    )
-
-
+    return _counted(dims.dim_news_category(spark), per_code, "category_code", "alerts")
 
 
 @query("""
