@@ -157,14 +157,16 @@ def atr_14(df: DataFrame) -> DataFrame:
     return df.withColumns(atr_windows())
 
 
-def macd(df: DataFrame) -> DataFrame:
+def macd(df: DataFrame, clustered: bool = False) -> DataFrame:
     """Exponential averages of adj_close per symbol; null on histories under 26 rows.
 
-    An exponential average is a recurrence no window frame expresses. Rows already sit
-    sorted by symbol and day after the window stages, so the frames stream through
-    Arrow without another shuffle and pandas runs the recurrence over many symbols at
-    a time.
+    An exponential average is a recurrence no window frame expresses. Say ``clustered``
+    when all rows of a symbol are in one partition already, as after the window stages:
+    the frames then stream through Arrow without another shuffle. Pandas runs the
+    recurrence over many symbols at a time.
     """
+    if not clustered:
+        df = df.repartition("symbol_key")
     added = ["macd_line", "macd_signal", "macd_histogram"]
     schema = T.StructType(
         [*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]]
@@ -204,4 +206,4 @@ def build_fact(joined: DataFrame, at: str | None = None) -> DataFrame:
     """The daily fact; ``at`` is the time of the run, stored in loaded_at."""
     wide = window_indicators(joined)
     carried = [c for c in FACT_COLUMNS if not c.startswith("macd_")]
-    return stamped(macd(wide.select(*carried)).select(*FACT_COLUMNS), "loaded_at", at)
+    return stamped(macd(wide.select(*carried), clustered=True).select(*FACT_COLUMNS), "loaded_at", at)

@@ -453,7 +453,7 @@ MACD = "macd_line macd_signal macd_histogram"
 @query(f"SELECT {FACT_KEY}, {rounded(MACD)} FROM macd")
 def macd(spark, sf_dir):
     narrow = d.joined_bars(spark, sf_dir).select("symbol_key", "date_key", "adj_close")
-    return indicators.macd(narrow.repartition("symbol_key")).select(
+    return indicators.macd(narrow).select(
         "symbol_key", "date_key", *MACD.split()
     )
 

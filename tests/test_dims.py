@@ -112,3 +112,10 @@ def test_macd_starts_at_the_first_row_of_a_long_history(spark):
         assert rows[i].macd_histogram == pytest.approx(fast - slow - signal)
     short = indicators.build_fact(bars(spark, prices[:25])).collect()
     assert all(r.macd_line is None for r in short)
+
+
+def test_macd_does_not_depend_on_how_rows_are_dealt(spark):
+    rows = bars(spark, [10.0 + (i * 7) % 11 for i in range(40)]).select("symbol_key", "date_key", "adj_close")
+    one = indicators.macd(rows.coalesce(1)).orderBy("date_key").collect()
+    many = indicators.macd(rows.repartition(7)).orderBy("date_key").collect()
+    assert one == many and one[-1].macd_line is not None
