@@ -286,13 +286,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         .join(roots_.withColumnRenamed("node", "key"), "key", "left")
         .select("key", "size", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
     )
+    # Written first, so that both sides of the joins below are plain shuffles that Spark can
+    # split where one class or component holds many rows.
     of = (
-        rows.select("rid", "doc_id", "body", "key").join(placed, "key", "left")
+        rows.select("rid", "doc_id", "body", "key").join(saved(placed, "class_results"), "key", "left")
         .withColumn("root", F.coalesce("root", F.col("rid").cast("string").cast("binary")))
     )
     of = saved(of, "placed")
     first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("f"))
-    return of.join(first, "root").select(
+    return of.join(saved(first, "first"), "root").select(
         "rid", "doc_id", "body", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("size", F.lit(1)).alias("class_size"),
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),
