@@ -16,8 +16,10 @@ from tapeline.llm.graph import components
 THRESHOLD = 0.95
 #: Vectors of one tree, and cells that the vectors are dealt to by their nearest pivot.
 BLOCK, PIVOTS = 8_192, 256
-#: A node of so few vectors has no children.
-LEAF = 16
+#: A node of so few vectors within such a radius has no children.
+LEAF, NEAR = 16, 0.25
+#: The traversal starts at nodes of at most this radius.
+TOP = 0.5
 #: Slack of the bounds on distances in double precision.
 EPS = 1e-9
 
@@ -47,6 +49,9 @@ def _net(points: np.ndarray, reach: float) -> list[np.ndarray]:
     """Greedy net: centres further than ``reach`` apart in order, each with the points it
     covers first; the first point is the first centre."""
     out, left = [], np.ones(len(points), bool)
+    # Single precision decides who covers a point; the node's radius is measured afterwards.
+    points = points.astype(np.float32)
+    least = np.float32(1 - reach * reach / 2)
     width = max(1, 4_000_000 // max(len(points), 1))
     for at in range(0, len(points), width):
         near = None
@@ -54,7 +59,7 @@ def _net(points: np.ndarray, reach: float) -> list[np.ndarray]:
             if not left[i]:
                 continue
             if near is None:
-                near = _distance(points[at : at + width] @ points.T) <= reach
+                near = points[at : at + width] @ points.T >= least
             mine = left & near[i - at]
             mine[i] = True
             left &= ~mine
@@ -81,7 +86,7 @@ def build(unit: np.ndarray) -> Tree:
         at, members, reach = stack.pop()
         start[at], stop[at] = len(order), len(order) + len(members)
         groups = [members]
-        if len(members) > LEAF and radius[at] > EPS:
+        if radius[at] > (EPS if len(members) > LEAF else NEAR):
             while len(groups) == 1 and reach > EPS:
                 reach /= 2
                 if reach >= radius[at]:
@@ -124,20 +129,39 @@ def _expand(a: np.ndarray, b: np.ndarray, ta: Tree, tb: Tree, same: bool) -> tup
     return np.concatenate(pa_), np.concatenate(pb_)
 
 
+def _starts(t: Tree) -> np.ndarray:
+    """Nodes of radius up to ``TOP``, or without children, that hold all vectors."""
+    nodes = np.zeros(1, np.int64)
+    while len(wide := np.flatnonzero((t.radius[nodes] > TOP) & (t.children[nodes] > 0))):
+        _, inner = _ranges(t.first[nodes[wide]], t.children[nodes[wide]])
+        nodes = np.concatenate([np.delete(nodes, wide), inner])
+    return np.sort(nodes)
+
+
 def _tops(ta: Tree, tb: Tree, same: bool, tau: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the roots' children that the bounds leave, found from blocks of products."""
-    kids = lambda t: np.arange(t.first[0], t.first[0] + t.children[0]) if t.children[0] else np.zeros(1, np.int64)
-    ka, kb = kids(ta), kids(tb)
-    ca, cb = ta.unit[ta.start[ka]], tb.unit[tb.start[kb]]
-    width = max(1, 4_000_000 // max(len(kb), 1))
-    for at in range(0, len(ka), width):
-        far = _distance(ca[at : at + width] @ cb.T)
-        near = far <= ta.radius[ka[at : at + width], None] + tb.radius[kb][None, :] + tau + EPS
-        i, j = np.nonzero(near)
-        a, b = ka[at + i], kb[j]
-        if same:
-            a, b = a[a <= b], b[a <= b]
-        yield a, b
+    """Pairs of starting nodes that the bounds leave, found from blocks of products."""
+    ka, kb = _starts(ta), _starts(tb)
+    # Single vectors and nodes with a radius apart: one bound then serves a whole block of
+    # products. In single precision with slack it leaves a few pairs too many, never too few.
+    for one in _by_radius(ta, ka):
+        for two in _by_radius(tb, kb):
+            bound = min(2.0, float(ta.radius[one].max() + tb.radius[two].max()) + tau + 1e-3)
+            least = np.float32(1 - bound * bound / 2)
+            x, y = ta.unit[ta.start[one]].astype(np.float32), tb.unit[tb.start[two]].astype(np.float32).T
+            width = max(1, 8_000_000 // len(two))
+            for at in range(0, len(one), width):
+                i, j = np.nonzero(x[at : at + width] @ y >= least)
+                a, b = one[at + i], two[j]
+                if same:
+                    a, b = a[a <= b], b[a <= b]
+                yield a, b
+
+
+def _by_radius(t: Tree, nodes: np.ndarray) -> list[np.ndarray]:
+    """Nodes in groups of like radius: none, and each doubling from 1/16 on."""
+    step = np.ceil(np.log2(np.maximum(t.radius[nodes], 1 / 32) * 16)).clip(0)
+    step[t.radius[nodes] <= EPS] = -1
+    return [nodes[step == k] for k in np.unique(step)]
 
 
 def pairs(ta: Tree, tb: Tree, same: bool, threshold: float = THRESHOLD):
