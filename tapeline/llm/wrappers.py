@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -32,6 +33,9 @@ MARKS = re.compile(
 )
 #: Share of a node's text that one child must hold to be the place of the article instead.
 MOST = 0.7
+#: A slot beside that place is boilerplate when this share of a host's distinct pages, and
+#: so many of them, have the same text in it up to digits.
+SAME, LEAST_PAGES = 0.9, 5
 #: Partial wrappers that one task aligns; hosts that a task keeps before it sends them.
 FAN, HOSTS = 64, 2_000
 
@@ -42,6 +46,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _EDGE = re.compile(r"[\s_-]+")
+_DIGITS = re.compile(r"\d+")
 
 
 def label(tag: str, attributes: str, inside: bool) -> str:
@@ -97,15 +102,20 @@ def parse(page: str) -> list:
     return root
 
 
-def blocks(node: list, out: list[str]) -> list[str]:
-    """Texts of a parsed group, one per block, without the groups marked ``!``."""
+def blocks(node: list, path: list[str] | None, at: str = "", kind: str = "own") -> list[tuple[str, str, str]]:
+    """(labels from the root, kind, text) per block of a parsed group, without those marked ``!``.
+
+    ``path`` are the labels still to go to the place of the article. The kind is ``own``
+    in that place, ``part`` in an element beside it, ``loose`` in a single block beside it.
+    """
+    out: list[tuple[str, str, str]] = []
     run: list[str] = []
 
     def close():
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             if text:
-                out.append(text)
+                out.append((at, "loose" if path else kind, text))
             run.clear()
 
     for child in node[1]:
@@ -113,12 +123,35 @@ def blocks(node: list, out: list[str]) -> list[str]:
             run.append(child)
             continue
         close()
-        if not child[0].startswith("!"):
-            blocks(child, out)
+        if child[0].startswith("!"):
+            continue
+        below = f"{at}/{child[0]}"
+        if not path:
+            out += blocks(child, path, below, kind)
+        elif child[0] == path[0]:
+            out += blocks(child, path[1:], below)
+        else:
+            out += blocks(child, None, below, "loose" if child[0] in LEAVES else "part")
     close()
     return out
 
 
+def slots(found: list[tuple[str, str, str]]) -> dict[str, str]:
+    """Digest of the texts up to digits, per slot beside the article's place.
+
+    A slot is the labels of its blocks and their number, so a list or a text of several
+    paragraphs is another slot than a single line in its place.
+    """
+    texts: dict[str, list[str]] = {}
+    for at, kind, text in found:
+        if kind != "own":
+            texts.setdefault(at, []).append(_DIGITS.sub("0", text))
+    return {
+        f"{len(t)}{at}": hashlib.blake2b("\n".join(t).encode(errors="replace"), digest_size=12).hexdigest()
+        for at, t in texts.items()
+    }
+
+
 # A wrapper is [label, how often, parts, mass]: "1", "?" (optional), "+" (repeated) or "*" (both);
 # the label "#" is a text slot, "()" a repeated group of parts; mass counts characters.
 
@@ -230,14 +263,15 @@ def expression(w: list) -> str:
     return f"({inner})" + w[1] if w[0] == "()" else f"<{w[0]}>({inner})" + w[1].replace("1", "")
 
 
-def place(w: list) -> list[str]:
-    """Labels from the root to the part of a wrapper that holds the article.
+def descend(w: list) -> tuple[list[str], list]:
+    """Labels from the root to the part of a wrapper that holds the article, and that part.
 
     From the root down, the child that holds most of the text outside marked parts, as
-    long as one does and is no single block.
+    long as one does and is no single block; an ``article`` or ``main`` is not gone into.
+    What this leaves beside is kept unless its host's pages share it, see ``extract``.
     """
     path: list[str] = []
-    while True:
+    while not path or path[-1] not in ("article", "main"):
         masses: dict[str, list] = {}
 
         def see(parts_):
@@ -249,31 +283,41 @@ def place(w: list) -> list[str]:
 
         see(w[2])
         if not masses:
-            return path
+            break
         name, kids = max(masses.items(), key=lambda kv: (sum(x[3] for x in kv[1]), kv[0]))
         if sum(x[3] for x in kids) < MOST * w[3] or not w[3]:
-            return path
+            break
         path.append(name)
         w = kids[0]
         for x in kids[1:]:
             w = unify(w, x)
+    return path, w
+
+
+def place(w: list) -> list[str]:
+    return descend(w)[0]
+
 
+def extract(page: str | None, path: list[str] | None, shared: dict[str, str] | None = None) -> str:
+    """All text of a page outside marked parts, without the slots that its host's pages share.
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    """The article's text: blocks under ``path``, or under the page's own place without it."""
-    tree = parse(page or "")
-    for way in (path, None):
-        if way is None:
-            way = place(wrapper(tree))
-        nodes = [tree]
-        for name in way:
-            nodes = [k for x in nodes for k in x[1] if not isinstance(k, str) and k[0] == name]
-        out: list[str] = []
-        for x in nodes:
-            blocks(x, out)
-        if out:
-            return "\n".join(out)
-    return ""
+    ``path`` is the host's place of the article, ``shared`` the digest of each constant
+    slot beside it. Text in the place always stays. A slot beside it goes where its text
+    is the shared one; a shared slot in an element of its own is no article's place on
+    this host, so it goes with any text where the page has text in the host's place.
+    """
+    found = blocks(parse(page or ""), path)
+    shared = shared or {}
+    own = any(kind == "own" for _, kind, _ in found)
+    gone = set()
+    if shared:
+        parts_ = {at for at, kind, _ in found if kind == "part"}
+        for slot, digest in slots(found).items():
+            at = slot.lstrip("0123456789")
+            if slot in shared and (shared[slot] == digest or (own and at in parts_)):
+                gone.add(at)
+    kept = [text for at, kind, text in found if kind == "own" or at not in gone]
+    return "\n".join(kept or [text for _, _, text in found])
 
 
 def _lists(batch: pa.RecordBatch, *names: str) -> list[list]:
@@ -281,7 +325,8 @@ def _lists(batch: pa.RecordBatch, *names: str) -> list[list]:
 
 
 def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(host, wrapper, path): one wrapper per host, as JSON, and the article's place in it.
+    """(host, wrapper, path, beside): one wrapper per host, as JSON, the article's place in
+    it and whether some page has text beside that place.
 
     A task aligns the pages of a host that it reads (pages of one shape are only added
     up) and sends one partial wrapper per host; these are aligned in groups of at most
@@ -343,26 +388,74 @@ def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (ws,) = _lists(batch, "wrapper")
-            paths = [place(json.loads(w)) for w in ws]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], names=["host", "wrapper", "path"])
+            whole = [json.loads(w) for w in ws]
+            ends = [descend(w) for w in whole]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns, pa.array([path for path, _ in ends], pa.list_(pa.string())),
+                    pa.array([w[3] != end[3] for w, (_, end) in zip(whole, ends, strict=True)], pa.bool_()),
+                ],
+                names=["host", "wrapper", "path", "beside"],
+            )
+
+    return saved(
+        found.select("host", "wrapper").mapInArrow(places, schema + ", path array<string>, beside boolean"), "places"
+    )
+
+
+def constant(pages: DataFrame, host: str, html: str, known: DataFrame) -> DataFrame:
+    """(host, shared): digest per slot beside the article's place that a host's pages share.
+
+    Exact copies of a page count once, as they say nothing of what a template repeats.
+    Counts are keyed by slot and text and combined before the shuffle; a host's list is
+    shorter than its pages' mean number of slots over ``SAME``.
+    """
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for name, path, copy, page in zip(*_lists(batch, "host", "path", "copy", "html"), strict=True):
+                got = slots(blocks(parse(page or ""), path)) or {"": ""}
+                out += [(name, copy, slot, digest) for slot, digest in got.items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "copy", "slot", "digest"]
+            )
 
-    return saved(found.select("host", "wrapper").mapInArrow(places, schema + ", path array<string>"), "places")
+    rows = (
+        pages.select(F.col(host).alias("_at"), F.xxhash64(F.col(html)).alias("copy"), F.col(html).alias("html"))
+        .join(known.filter("beside").select("host", "path"), F.col("_at") == F.col("host"))
+        .select("host", "path", "copy", "html")
+        .mapInArrow(beside, "host string, copy long, slot string, digest string")
+    )
+    seen = saved(rows.distinct(), "slots")
+    total = seen.groupBy("host", "copy").count().groupBy("host").agg(F.count("*").alias("pages"))
+    same = (
+        seen.filter("slot <> ''").groupBy("host", "slot", "digest").agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= LEAST_PAGES).join(total, "host").filter(F.col("n") >= F.lit(SAME) * F.col("pages"))
+    )
+    shared = F.map_from_entries(F.collect_list(F.struct("slot", "digest")))
+    return saved(same.groupBy("host").agg(shared.alias("shared")), "shared")
 
 
 def with_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` (without ``html``) plus text and n_chars, its code points.
 
-    The text is the blocks of the article in page order, character references decoded,
-    white space inside a block as one space, joined by one line feed. A null, empty or
-    text-free page has the empty text; pages without a host are those of one host; a
-    page that lacks its host's article place is searched for its own. Repeated rows
-    repeat, an empty table gives an empty result, other columns stay and those of the
-    two names are replaced.
+    The text is all blocks outside marked parts and outside what the host's pages share
+    beside their article's place, in page order, character references decoded, white
+    space inside a block as one space, joined by one line feed. A null, empty or
+    text-free page has the empty text; a page without a host has no shared parts.
+    Repeated rows repeat, an empty table gives an empty result, other columns stay and
+    those of the two names are replaced.
     """
     name = fresh(pages, "_host")
     hosted = pages.withColumn(name, parts(F.col(url))[0])
-    other, path = fresh(hosted, "_other"), fresh(hosted, "_path")
-    known = infer(hosted, name, html).select(F.col("host").alias(other), F.col("path").alias(path))
+    other, path, shared = fresh(hosted, "_other"), fresh(hosted, "_path"), fresh(hosted, "_shared")
+    found = infer(hosted, name, html)
+    both = found.join(constant(hosted, name, html, found), "host", "left").select("host", "path", "shared")
+    known = saved(both, "known").select(  # written, so that the optimizer sees how small it is
+        F.col("host").alias(other), F.col("path").alias(path), F.col("shared").alias(shared)
+    )
     both = hosted.join(known, F.col(name) == F.col(other), "left").drop(name, other)
     own = [f for f in pages.schema.fields if f.name != html and f.name.lower() not in ("text", "n_chars")]
     names = [f.name for f in own]
@@ -370,14 +463,14 @@ def with_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [extract(h, p) for h, p in zip(*_lists(batch, html, path), strict=True)]
+            out = [extract(h, p, dict(x or ())) for h, p, x in zip(*_lists(batch, html, path, shared), strict=True)]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=[*names, "text", "n_chars"],
             )
 
-    return both.select(*[f"`{c}`" for c in [*names, html, path]]).mapInArrow(texts, schema)
+    return both.select(*[f"`{c}`" for c in [*names, html, path, shared]]).mapInArrow(texts, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,26 @@ def test_pages_of_a_host_share_a_wrapper(spark, monkeypatch):
     assert W.with_text(pages.limit(0)).count() == 0
 
 
+def test_no_unmarked_text_is_lost(spark):
+    body = "word " * 200
+    rows = [  # title and lead beside a large body; a list with most of the text; a second template of the host
+        *[(i, f"http://a.org/{i}", f"<article><h1>T{'x' * i}</h1><p>lead</p><div class=body>{body}</div></article>") for i in range(40)],
+        *[(100 + i, f"http://b.org/{i}", f"<div class=post><p>in {'x' * i}</p><ul><li>{body}</ul><p>out</p></div>") for i in range(2)],
+        (200, "http://a.org/z", f"<article><p>own</p></article><section><h2>more</h2><p>{body}</p></section>"),
+        *[(300 + i, "http://c.org/", f"<p>intro</p><div><p>{body}</p></div>") for i in range(20)],  # copies tell no template
+    ]
+    got = {r["page_id"]: r["text"] for r in W.with_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == f"Txxx\nlead\n{body.strip()}" and got[101] == f"in x\n{body.strip()}\nout"
+    assert got[200] == f"own\nmore\n{body.strip()}" and got[319] == f"intro\n{body.strip()}"
+
+
+def test_shared_slots_beside_the_article_go(spark):
+    page = "<div><p>" + "text {} " * 40 + "</p></div><section><p>join us</p></section><h5>{}</h5>"
+    rows = [(i, f"http://a.org/{i}", page.replace("{}", "x" * i) if i else page.replace("join us", "join</p><p>me")) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in W.with_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "join" not in got[7] and got[7].endswith("\nxxxxxxx") and "\njoin\nme\n" in got[0]
+
+
 def test_given_pages_hold_no_markup(spark, sf_dir):
     for r in W.query(spark, sf_dir).collect():
         assert r["text"] and r["n_chars"] == len(r["text"]) and "<" not in r["text"] and "©" not in r["text"]
