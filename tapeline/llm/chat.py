@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import read
+from tapeline.llm.common import read, saved
 
 #: Turns whose numbers share a block of this size are rendered into one part.
 TURNS = 256
@@ -13,6 +13,41 @@ TURNS = 256
 ROWS = 4096
 
 
+def sliced(said: DataFrame) -> DataFrame:
+    """``said`` plus slice and copies: parts of more than ``ROWS`` rows cut in turn order.
+
+    Slices are ranges of ``ROWS`` running row numbers over (turn, name, body). Equal rows
+    of a large part are one row with their number in that slice as ``copies``. Row
+    numbers are running sums per chunk of a range-sorted table plus the sums of the
+    chunks before, so no task holds a large part.
+    """
+    part, order = ["conv_id", "part"], ["turn", "name", "body"]
+    sizes = said.groupBy(*part).agg(F.count("*").alias("rows")).filter(F.col("rows") > ROWS)
+    large = saved(sizes.select(*part), "large_parts").alias("b")
+    here = F.expr("a.conv_id <=> b.conv_id AND a.part = b.part")
+    small = said.alias("a").join(large, here, "left_anti").select(
+        *part, *order, F.lit(0).cast("long").alias("slice"), F.lit(1).alias("copies")
+    )
+    keys = said.alias("a").join(large, here, "left_semi").groupBy(*part, *order).agg(F.count("*").alias("n"))
+    ranged = saved(
+        keys.repartitionByRange(*part, *order).withColumn("chunk", F.spark_partition_id()), "turn_ranges"
+    )
+    chunks = ranged.groupBy(*part, "chunk").agg(F.sum("n").alias("n"))
+    before = chunks.select(
+        *part, "chunk", (F.sum("n").over(Window.partitionBy(*part).orderBy("chunk")) - F.col("n")).alias("before")
+    ).alias("b")
+    upto = Window.partitionBy(*part, "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        ranged.withColumn("upto", F.sum("n").over(upto)).alias("a")
+        .join(before, F.expr("a.conv_id <=> b.conv_id AND a.part = b.part AND a.chunk = b.chunk"))
+        .select(*[f"a.{c}" for c in (*part, *order)], (F.col("before") + F.col("upto")).alias("stop"), "n")
+        .withColumn("start", F.col("stop") - F.col("n"))
+        .withColumn("slice", F.explode(F.expr(f"sequence(start div {ROWS}, (stop - 1) div {ROWS})")))
+    )
+    mine = F.least(F.col("stop"), (F.col("slice") + 1) * ROWS) - F.greatest(F.col("start"), F.col("slice") * ROWS)
+    return small.unionByName(numbered.select(*part, *order, "slice", mine.cast("int").alias("copies")))
+
+
 def rotate(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role",
     text: str = "text", turns_per_part: int = TURNS,
@@ -30,9 +65,9 @@ def rotate(
     of its own. Equal turn numbers are ordered by speaker, then text; repeated rows are
     rendered as often as they occur; a null turn comes first, in part 0. A long
     conversation is cut in parts by turn number, and where a part has more than
-    ``ROWS`` rows (many rows of one turn number) in slices by hash, so that no task
-    holds a whole hot conversation; the parts joined in (part, slice) order are the
-    whole dialogue. An empty table gives no rows.
+    ``ROWS`` rows (many rows of one turn number) in slices of ``ROWS`` rows in the same
+    order, so that no task holds a whole hot conversation; the parts joined in (part,
+    slice) order are the whole dialogue in turn order. An empty table gives no rows.
     """
     said = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
@@ -40,17 +75,7 @@ def rotate(
         F.coalesce(F.col(text), F.lit("")).alias("body"),
     ).withColumn("part", F.coalesce(F.floor(F.col("turn") / turns_per_part), F.lit(0)).cast("long"))
     seats = said.select("conv_id", F.col("name").alias("seat")).distinct()
-    sizes = said.groupBy("conv_id", "part").agg(
-        F.ceil(F.count("*") / F.lit(ROWS)).cast("long").alias("slices")
-    )
-    cut = (
-        said.alias("a")
-        .join(sizes.alias("b"), F.expr("a.conv_id <=> b.conv_id AND a.part = b.part"))
-        .select(
-            "a.conv_id", "a.part", "turn", "name", "body",
-            F.pmod(F.xxhash64("turn", "name", "body"), F.col("slices")).alias("slice"),
-        )
-    )
+    cut = sliced(said)
     own = F.col("name") == F.col("seat")
     head = F.when(own, F.lit("<|assistant|>\n")).otherwise(
         F.concat(F.lit("<|user name="), F.col("name"), F.lit("|>\n"))
@@ -63,12 +88,14 @@ def rotate(
             F.struct(
                 "turn", "name", "body", own.alias("own"),
                 F.concat(head, F.col("body"), F.lit("\n<|end|>\n")).alias("line"),
-                F.length(head).alias("skip"),
+                F.length(head).alias("skip"), "copies",
             ).alias("m"),
         )
     )
     parts = seen.groupBy("conv_id", "seat", "part", "slice").agg(
-        F.array_sort(F.collect_list("m")).alias("ms")
+        F.flatten(
+            F.transform(F.array_sort(F.collect_list("m")), lambda m: F.array_repeat(m, m["copies"]))
+        ).alias("ms")
     )
     zero = F.struct(
         F.lit(0).cast("long").alias("at"),

@@ -81,6 +81,20 @@ def test_a_hot_conversation_is_cut_in_parts_and_slices(turns):
     assert max(r["n_turns"] for r in got) < 8_000 and {r["part"] for r in got} == {0, 1, 2}
 
 
+def test_slices_of_a_hot_part_are_bounded_and_in_turn_order(turns):
+    rows = [(None, i % 200, "ab"[i % 2], f"{i:05d}") for i in range(9_000)]  # null id, many rows a turn
+    rows += [(None, None, "a", "same")] * 10_000  # one row repeated, null turns first
+    got = [r for r in chat.rotate(turns(rows).repartition(5)).collect() if r["seat"] == "a"]
+    got.sort(key=lambda r: (r["part"], r["slice"]))
+    assert all(r["n_turns"] == chat.ROWS for r in got[:-1]) and [r["slice"] for r in got] == [0, 1, 2, 3, 4]
+    said = sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))
+    assert "".join(r["text"] for r in got) == render("a", [(r[2], r[3]) for r in said])[0]
+    assert all(
+        [r["text"][s:e] for s, e in r["spans"]] == [b for _, _, n, b in said[i * chat.ROWS : (i + 1) * chat.ROWS] if n == "a"]
+        for i, r in enumerate(got)
+    )
+
+
 CASES = [
     ("http://EXAMPLE.com/en/1?q", "example.com", "/en/1", "example.com/en/", "block"),
     ("https://www.example.com/en/#x", "www.example.com", "/en/", "www.example.com/en/", "allow"),
