@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,15 @@ from tapeline.llm.common import read, saved
 
 #: Classes of words; class 0 is the end of a text.
 CLASSES = 64
-#: Words at least this frequent are clustered one by one: at most 1 / FREQUENT words.
-FREQUENT = 1e-4
+#: Words that occur so often in training are clustered one by one.
+LEAST = 3
 #: All other words are clustered by ending, in so many groups.
 ENDINGS = 1024
-#: Rounds of the exchange; each moves the units of one of two halves.
-ROUNDS = 10
+#: The exchange ends when so many rounds (each moves the units of one of two halves) have
+#: not raised the best likelihood by this much per token; the last bound is a guard only.
+PATIENCE, RISE, MOST_ROUNDS = 2, 1e-3, 200
+#: Tokens whose pairs share a bucket; tokens of a block whose pairs are counted at a time.
+BUCKET_TOKENS, PIECE = 1_000_000, 400_000
 #: Weight of a class's own frequency in its transitions.
 KAPPA = 5.0
 #: Characters of a block of documents: what one task scores at a time, about.
@@ -62,9 +66,11 @@ def ending(word: bytes) -> int:
 
 
 def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """(_block, word, c, first): training count of each word that a block has.
+    """(_block, word, c, first, chunk, local): training count of each word that a block has.
 
     A task sends each distinct word of a block once; ``first`` marks one row per word.
+    The words of ``LEAST`` occurrences or more are numbered by ``local`` within the
+    ``chunk`` of the table that holds all their rows; it is -1 for other words.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,83 +97,146 @@ def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
 
     parts = docs.select("_block", text, train).mapInArrow(count, "_block long, word binary, n long")
     same = Window.partitionBy("word")
-    return parts.select(
+    counted = parts.select(
         "_block", "word", F.sum("n").over(same).alias("c"),
         (F.row_number().over(same.orderBy("_block")) == 1).alias("first"),
     )
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, upto = TaskContext.get().partitionId(), 0
+        for batch in batches:  # rows of a word are neighbours, the one marked ``first`` leads
+            c, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            often = c >= LEAST
+            at = upto + np.cumsum(first & often)
+            upto = int(at[-1]) if len(at) else upto
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(c), chunk, np.int64)), pa.array(np.where(often, at - 1, -1).astype(np.int64))],
+                names=[*batch.schema.names, "chunk", "local"],
+            )
+
+    return counted.mapInArrow(number, "_block long, word binary, c long, first boolean, chunk long, local long")
+
+
+class Vocabulary(NamedTuple):
+    """Where the numbers of each chunk's words begin; the words stay in their table."""
+
+    words: DataFrame | None
+    offsets: np.ndarray
+    size: int
+
+    def units(self, words: list[bytes], chunk: np.ndarray, local: np.ndarray) -> np.ndarray:
+        """The unit of each word: its own number if it has one, else that of its ending."""
+        out = 1 + ENDINGS + self.offsets[chunk] + local
+        rare = np.flatnonzero(local < 0)
+        out[rare] = np.fromiter((1 + ending(words[i]) for i in rare), np.int64, len(rare))
+        return out
+
+    def of(self, t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        chunk, local = (t.column(t.schema.get_field_index(x)).to_numpy() for x in ("chunk", "local"))
+        return self.units(_column(t, "word"), chunk, local)
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Units of the words numbered in ``counts``, chunk after chunk."""
+    words = counts.filter("first AND local >= 0").select("word", "chunk", "local")
+    rows = words.groupBy("chunk").agg(F.count("*").alias("n")).collect()
+    most = counts.agg(F.max("chunk")).first()[0] or 0
+    sizes = np.zeros(most + 1, np.int64)
+    for r in rows:
+        sizes[r["chunk"]] = r["n"]
+    return Vocabulary(words, np.cumsum(sizes) - sizes, 1 + ENDINGS + int(sizes.sum()))
+
 
 class Units:
-    """The unit of a word: its own number if frequent, else that of its ending."""
+    """The unit of any word of a small vocabulary, whose words are gathered here."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.own = {w: 1 + ENDINGS + i for i, w in enumerate(frequent)}
-        self.size = 1 + ENDINGS + len(frequent)
-        self.memo: dict[bytes, int] = {}
+    def __init__(self, frequent: Vocabulary):
+        rows = frequent.words.collect()
+        self.own = {bytes(r["word"]): 1 + ENDINGS + int(frequent.offsets[r["chunk"]]) + r["local"] for r in rows}
+        self.size = frequent.size
 
     def of(self, word: bytes) -> int:
         return self.own.get(word) or 1 + ending(word)
 
-    def number(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo.update((w, self.of(w)) for w in set(words) if w not in self.memo)
-            return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
+def dealt(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.Table:
+    """Pairs by bucket of their later (side 0) and of their earlier unit (side 1).
 
-def count_pairs(docs: DataFrame, text: str, train: str, frequent: list[bytes]) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a in training texts; 0 begins and ends one."""
-    size = Units(frequent).size
+    (bucket, side, u, v, n): arrays of unit, neighbour and count. A unit's bucket is its
+    number modulo ``buckets``, so a bucket has every pair of its units.
+    """
+    rows: list[tuple] = []
+    for side, (u, v) in enumerate(((b, a), (a, b))):
+        at = u % buckets
+        order, ends = np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=buckets))
+        columns = [x.astype(np.uint32)[order] for x in (u, v, n)]
+        for i in range(buckets):
+            begin = ends[i - 1] if i else 0
+            if begin < ends[i]:
+                rows.append((i, side, *(x[begin : ends[i]].tobytes() for x in columns)))
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+    return pa.table({x: pa.array([r[i] for r in rows], kinds[i]) for i, x in enumerate(("bucket", "side", "u", "v", "n"))})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(frequent)
-        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            run = [np.zeros(1, np.int64)]
-            for t in _column(batch, text):
-                run += [units.number(_words(t)), np.zeros(1, np.int64)]
-            seq = np.concatenate(run)
-            if len(seq) < 2:
-                continue
-            got, n = np.unique(seq[:-1] * size + seq[1:], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, got]), return_inverse=True)
-            total = np.zeros(len(keys), np.int64)
-            np.add.at(total, at, np.concatenate([sums, n]))
-            sums = total
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys // size), pa.array(keys % size), pa.array(sums)], names=["a", "b", "n"]
-        )
 
-    parts = docs.filter(F.col(train)).select(text).mapInArrow(count, "a long, b long, n long")
-    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+DEALT = "bucket long, side long, u binary, v binary, n binary"
 
 
-def contexts(pairs: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per unit, how often each class stands before it and after it (units x classes each).
+def count_pairs(docs: DataFrame, counts: DataFrame, text: str, train: str, frequent: Vocabulary, buckets: int) -> DataFrame:
+    """How often a unit follows another in training texts, as ``dealt``; 0 begins and ends one.
 
-    Summed over all pairs by Spark; the matrices are as large as the model, not the corpus.
+    A block's pairs are counted where its words are; the same pair may come from several.
     """
+    known = frequent._replace(words=None)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            keys = np.concatenate([b * k + classes[a], (a + len(classes)) * k + classes[b]])
-            own, at = np.unique(keys, return_inverse=True)
-            sums = np.zeros(len(own), np.int64)
-            np.add.at(sums, at, np.concatenate([n, n]))
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(sums)], names=["k", "n"])
-
-    rows = (
-        pairs.select("a", "b", "n").mapInArrow(fold, "k long, n long")
-        .groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    def count(texts: pa.Table, words: pa.Table) -> pa.Table:
+        own = words["word"].to_pylist()
+        at = dict(zip(own, known.units(own, words["chunk"].to_numpy(), words["local"].to_numpy()).tolist(), strict=True))
+        run = [np.zeros(1, np.int64)]
+        for t in texts["text"]:
+            tokens = _words(t.as_py())
+            run += [np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens)), np.zeros(1, np.int64)]
+        del own, at
+        seq = np.concatenate(run)
+        out = []
+        for i in range(0, max(len(seq) - 1, 1), PIECE):
+            piece = seq[i : i + PIECE + 1]
+            got, n = np.unique(piece[:-1] * known.size + piece[1:], return_counts=True)
+            out.append(dealt(got // known.size, got % known.size, n, buckets))
+        return pa.concat_tables(out)
+
+    return (
+        docs.filter(F.col(train)).select("_block", F.col(text).alias("text")).groupBy("_block")
+        .cogroup(counts.select("_block", "word", "chunk", "local").groupBy("_block"))
+        .applyInArrow(count, DEALT)
     )
-    both = np.zeros(2 * len(classes) * k)
-    both[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    both = both.reshape(2, len(classes), k)
-    return both[0], both[1]
+
+
+def gathered(parts: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(bucket, m0, v0, n0, m1, v1, n1): what ``dealt`` gave, added up, one row per bucket.
+
+    ``m`` has the number of neighbours of each unit of the bucket in turn, ``v`` the
+    neighbours, ``n`` the counts; one above 65,535 is spread over several entries.
+    """
+
+    def together(t: pa.Table) -> pa.Table:
+        side, bucket = t["side"].to_numpy(), t["bucket"][0].as_py()
+        out: dict[str, list] = {"bucket": [bucket]}
+        for s in (0, 1):
+            rows = t.filter(pa.array(side == s))
+            u, v, n = (np.frombuffer(b"".join(rows[x].to_pylist()), np.uint32).astype(np.int64) for x in ("u", "v", "n"))
+            keys, at = np.unique(u * size + v, return_inverse=True)
+            sums = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+            times = -(-sums // 65_535)
+            last = np.cumsum(times) - 1
+            keys, n = np.repeat(keys, times), np.full(int(times.sum()), 65_535)
+            n[last] = sums - (times - 1) * 65_535
+            m = np.bincount((keys // size - bucket) // buckets, minlength=len(range(bucket, size, buckets)))
+            for name, x, kind in (("m", m, np.uint32), ("v", keys % size, np.uint32), ("n", n, np.uint16)):
+                out[f"{name}{s}"] = [x.astype(kind).tobytes()]
+        return pa.table(out)
+
+    names = ", ".join(f"{x}{s} binary" for s in (0, 1) for x in "mvn")
+    return saved(parts.groupBy("bucket").applyInArrow(together, f"bucket long, {names}"), "class_pairs")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -179,43 +248,110 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def exchange(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class-bigram counts) after ``rounds`` of exchange.
+def _arrays(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    """The bucket of each row of a batch of ``gathered`` and its arrays of these names.
+
+    Instead of ``m`` comes the place of each entry's unit in its bucket.
+    """
+    columns = [batch.column(batch.schema.get_field_index(x)) for x in ("bucket", *names)]
+    for i in range(batch.num_rows):
+        got = [columns[0][i].as_py()]
+        for name, c in zip(names, columns[1:], strict=True):
+            x = np.frombuffer(c[i].as_py(), np.uint16 if name[0] == "n" else np.uint32)
+            got.append(np.repeat(np.arange(len(x)), x) if name[0] == "m" else x)
+        yield tuple(got)
+
+
+def exchange(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """``settle`` for a table (a, b, n) of how often unit b follows unit a."""
+    buckets = 4
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from dealt(*(batch.column(i).to_numpy() for i in range(3)), buckets).to_batches()
+
+    parts = pairs.select("a", "b", "n").mapInArrow(deal, DEALT)
+    return settle(gathered(parts, size, buckets), size, buckets, k, rounds)
+
+
+def settle(
+    pairs: DataFrame, size: int, buckets: int, k: int = CLASSES, rounds: int = MOST_ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class-bigram counts) when exchange raises the likelihood no more.
 
     Units start in classes by frequency. A round moves every unit of one half to the
     class that fits its neighbours best under the current counts, as all moves of a round
     are found at once; the best clustering of all rounds is returned. Class 0 holds only
-    the end of a text.
+    the end of a text. The pairs are dealt out by unit once; a round then needs no
+    shuffle, and what goes to the tasks and back is one byte per unit and the k x k table.
     """
-    classes = np.zeros(size, np.int64)
-    classes[1:] = 1 + np.arange(size - 1) % (k - 1)
+    spark = pairs.sparkSession.sparkContext
+
+    def per_bucket(work, names: list[str], *shared) -> list:
+        handle = spark.broadcast(shared)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [(bucket, work(handle.value, bucket, *arrays)) for bucket, *arrays in _arrays(batch, names)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())],
+                    names=["bucket", "out"],
+                )
+
+        rows = pairs.select("bucket", *names).mapInArrow(run, "bucket long, out binary").collect()
+        handle.unpersist()
+        return rows
+
+    def totals(shared, bucket, at, n):
+        return np.bincount(at, weights=n, minlength=len(range(bucket, size, buckets)))
+
+    def bigrams(shared, bucket, at, v, n):
+        (classes,) = shared
+        return np.bincount(classes[v].astype(np.int32) * k + classes[bucket::buckets][at], weights=n, minlength=k * k)
+
+    def moves(shared, bucket, at0, v0, n0, at1, v1, n1):
+        classes, log_in, log_n, turn = shared
+        own = np.arange(bucket, size, buckets)
+        before, after = (
+            np.bincount(at * k + classes[v], weights=n, minlength=len(own) * k).reshape(-1, k)
+            for at, v, n in ((at0, v0, n0), (at1, v1, n1))
+        )
+        gain = before @ log_in + after @ log_in.T - before.sum(1)[:, None] * log_n[None, :]
+        gain[:, 0] = -np.inf
+        move = (own % 2 == turn % 2) & (before.sum(1) > 0) & (own > 0)
+        return np.where(move, gain.argmax(1), classes[own]).astype(np.uint8)
+
+    often = np.zeros(size, np.float32)
+    for bucket, out in per_bucket(totals, ["m0", "n0"]):
+        often[bucket::buckets] = np.frombuffer(out)
+    classes = np.zeros(size, np.uint8)
+    classes[1 + np.argsort(-often[1:], kind="stable")] = 1 + np.arange(size - 1) % (k - 1)
     best = (-np.inf, classes, np.zeros((k, k)))
+    stale, mark = 0, -np.inf
     for turn in range(rounds + 1):
-        before, after = contexts(pairs, classes, k)
-        if turn == 0:
-            order = np.argsort(-before.sum(1)[1:], kind="stable")
-            classes = np.zeros(size, np.int64)
-            classes[1 + order] = 1 + np.arange(size - 1) % (k - 1)
-            before, after = contexts(pairs, classes, k)
         table = np.zeros((k, k))
-        np.add.at(table, classes, after)
+        for _, out in per_bucket(bigrams, ["m0", "v0", "n0"], classes):
+            table += np.frombuffer(out).reshape(k, k)
         value = likelihood(table)
         if value > best[0]:
             best = (value, classes.copy(), table)
-        if turn == rounds:
+        if value > mark + RISE * table.sum():
+            stale, mark = 0, value
+        else:
+            stale += 1
+        if turn == rounds or stale >= PATIENCE or not table.sum():
             break
         log_in = np.log(table + 0.1)
         log_n = np.log(table.sum(0) + 0.1 * k) + np.log(table.sum(1) + 0.1 * k)
-        gain = before @ log_in + after @ log_in.T - before.sum(1)[:, None] * log_n[None, :]
-        gain[:, 0] = -np.inf
-        move = (np.arange(size) % 2 == turn % 2) & (before.sum(1) > 0)
-        move[0] = False
-        classes = np.where(move, gain.argmax(1), classes)
+        moved = classes.copy()
+        for bucket, out in per_bucket(moves, ["m0", "v0", "n0", "m1", "v1", "n1"], classes, log_in, log_n, turn):
+            moved[bucket::buckets] = np.frombuffer(out, np.uint8)
+        classes = moved
     return best[1], best[2]
 
 
 class Model(NamedTuple):
-    frequent: list[bytes]
+    frequent: Vocabulary
     classes: np.ndarray
     step: np.ndarray  # log10 of a class after a class
     tokens: np.ndarray  # training tokens per class
@@ -232,32 +368,28 @@ def train(docs: DataFrame, counts: DataFrame, text: str, train: str) -> Model:
     ends = docs.filter(F.col(train)).count()
     s = known.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (s["n"] or 0) + ends, s["v"] + (ends > 0)
-    rows = known.filter(F.col("c") >= max(FREQUENT * total, 1.0)).select("word", "c").collect()
-    frequent = [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))]
-    units = Units(frequent)
-    pairs = saved(count_pairs(docs, text, train, frequent), "class_pairs")
-    classes, table = exchange(pairs, units.size)
-
-    def per_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Units(frequent)
-        sums = np.zeros((units.size, 4), np.int64)
+    frequent = vocabulary(counts)
+    buckets = 1 + total // BUCKET_TOKENS
+    pairs = gathered(count_pairs(docs, counts, text, train, frequent, buckets), frequent.size, buckets)
+    classes, table = settle(pairs, frequent.size, buckets)
+    handle, sent = docs.sparkSession.sparkContext.broadcast(classes), frequent._replace(words=None)
+
+    def per_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((CLASSES, 4), np.int64)
         for batch in batches:
             c = batch.column(batch.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
-            at = np.fromiter(map(own.of, _column(batch, "word")), np.int64, batch.num_rows)
-            np.add.at(sums, at, np.stack([c, np.ones_like(c), c == 1, c == 2], 1))
-        at = np.flatnonzero(sums[:, 1])
+            np.add.at(sums, handle.value[sent.of(batch)], np.stack([c, np.ones_like(c), c == 1, c == 2], 1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at), *[pa.array(sums[at, i]) for i in range(4)]], names=["u", "c", "t", "n1", "n2"]
+            [pa.array(np.arange(CLASSES)), *[pa.array(sums[:, i]) for i in range(4)]], names=["k", "c", "t", "n1", "n2"]
         )
 
     stats = (
-        known.select("word", "c").mapInArrow(per_unit, "u long, c long, t long, n1 long, n2 long")
-        .groupBy("u").agg(*[F.sum(x).alias(x) for x in ("c", "t", "n1", "n2")]).toPandas()
+        known.select("word", "c", "chunk", "local").mapInArrow(per_class, "k long, c long, t long, n1 long, n2 long")
+        .groupBy("k").agg(*[F.sum(x).alias(x) for x in ("c", "t", "n1", "n2")]).toPandas()
     )
     tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    own = classes[stats["u"].to_numpy(np.int64)]
-    np.add.at(tokens, own, stats["c"].to_numpy(float))
-    np.add.at(types, own, stats["t"].to_numpy(float))
+    tokens[stats["k"].to_numpy(np.int64)] = stats["c"].to_numpy(float)
+    types[stats["k"].to_numpy(np.int64)] = stats["t"].to_numpy(float)
     n1, n2 = float(stats["n1"].sum()), float(stats["n2"].sum())
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * CLASSES)
     step = (table + KAPPA * share[None, :]) / (table.sum(1, keepdims=True) + KAPPA)
@@ -297,7 +429,7 @@ def score(
     ).withColumn("train", ~F.col("held_out"))
     counts = saved(count_words(rows, "text", "train"), "class_words")
     model = train(rows, counts, "text", "train")
-    handle = docs.sparkSession.sparkContext.broadcast(model)
+    handle = docs.sparkSession.sparkContext.broadcast(model._replace(frequent=model.frequent._replace(words=None)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def block(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -305,8 +437,7 @@ def score(
         own = words["word"].to_pylist()
         at = dict(zip(own, range(len(own)), strict=True))  # a word sent twice has one count
         c = words["c"].to_numpy()
-        units = Units(m.frequent)
-        cls = m.classes[np.fromiter(map(units.of, own), np.int64, len(own))]
+        cls = m.classes[m.frequent.units(own, words["chunk"].to_numpy(), words["local"].to_numpy())].astype(np.int64)
         emit = emissions(c, cls, m)
         norm = m.total + 0.1 * (m.distinct + 1)
         base, base_end = np.log10((c + 0.1) / norm), np.log10((m.ends + 0.1) / norm)
@@ -329,7 +460,7 @@ def score(
 
     return (
         rows.select("_block", "doc_id", "held_out", "text").groupBy("_block")
-        .cogroup(counts.select("_block", "word", "c").groupBy("_block"))
+        .cogroup(counts.select("_block", "word", "c", "chunk", "local").groupBy("_block"))
         .applyInArrow(block, f"doc_id {kind}, held_out boolean, {SCORES}")
     )
 

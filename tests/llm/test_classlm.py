@@ -70,6 +70,20 @@ def test_exchange_finds_words_that_stand_alike(spark):
     assert table.sum() == sum(r[2] for r in rows)
 
 
+def test_a_rare_word_has_a_class_of_its_own(docs):
+    # Far below 1/10,000 of the text, with one ending: the words after "low" against those after "high".
+    text = "the of and to in is " * 4_000
+    rows = [(i, text) for i in range(6)]
+    rows += [(10 + i, f"low {w} up high {v} down") for i in range(4) for w in ("aaxx", "bbxx") for v in ("ccxx", "ddxx")]
+    blocks = C.blocked(docs(rows)).select("_block", "text", F.lit(True).alias("train"))
+    counts = C.saved(C.count_words(blocks, "text", "train"), "t")
+    m = C.train(blocks, counts, "text", "train")
+    units = C.Units(m.frequent)
+    assert len({units.of(w) for w in (b"aaxx", b"bbxx", b"ccxx", b"ddxx")}) == 4
+    a, b, c, d = (m.classes[units.of(w)] for w in (b"aaxx", b"bbxx", b"ccxx", b"ddxx"))
+    assert not {a, b} & {c, d}
+
+
 def test_the_model_beats_word_counts_on_held_out_texts(spark, sf_dir):
     got = C.query(spark, sf_dir).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > 0.95 * got["b"]
