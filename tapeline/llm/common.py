@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """A column of texts in UTF-8; a null text is empty."""
+    column = batch.column(batch.schema.get_field_index(name))
+    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+
+
 _FOLDERS: dict[str, str] = {}
 
 

@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tapeline.llm import bpe, chat, classlm, covertree, lines, minhash, mixing, perplexity, urls, wrappers
+from tapeline.llm import (
+    bpe,
+    chat,
+    classlm,
+    covertree,
+    infill,
+    lines,
+    minhash,
+    mixing,
+    perplexity,
+    pii,
+    search,
+    urls,
+    wrappers,
+)
 
 QUERIES = {
     "op1_chat_rotation": chat.query,
@@ -15,10 +29,15 @@ QUERIES = {
     "op8_line_frequency": lines.query,
     "op9_golden_mix": mixing.query,
     "op10_segment_tree_bpe": bpe.query,
+    "op11_norm_bucket_search": search.query,
+    "op12_skip_chain_pii": pii.query,
+    "op13_chunked_infill": infill.query,
 }
 ORACLE = {
     "op1_chat_rotation": chat.SQL,
     "op7_url_regression": urls.SQL,
     "op8_line_frequency": lines.SQL,
     "op9_golden_mix": mixing.SQL,
+    "op11_norm_bucket_search": search.SQL,
+    "op13_chunked_infill": infill.SQL,
 }
