@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tapeline.functions.scans import first_row
 from tapeline.functions.expr import stamped
+from tapeline.operators.tables import VersionedTable
 
 
 LOOKBACK_DAYS = 60  # fixed value: calendar days read before the snapshot day
@@ -112,6 +113,35 @@ def latest_context(context: DataFrame) -> DataFrame:
     )
 
 
+def retained_context(table: VersionedTable, symbols: DataFrame) -> DataFrame:
+    """``latest_context`` of ``symbols`` from the retained snapshots, newest partitions first.
+
+    The manifest lists the partitions; the newest one is read for all symbols, then twice as
+    many older ones each time, for symbols not found so far only. It ends when every
+    symbol is found or nothing is left, so a symbol that is still traded costs one snapshot
+    and the rest of the history is never planned.
+    """
+    by_value: dict[str, list] = {}
+    for p in table.manifest().parts:
+        by_value.setdefault(p.part, []).append(p)
+    values = sorted(by_value, reverse=True)
+    wanted = symbols.select(F.upper("symbol").alias("symbol")).distinct()
+    found = table.read([]).withColumn("symbol", F.upper("symbol"))
+    at, step = 0, 1
+    while at < len(values):
+        some = [p for v in values[at : at + step] for p in by_value[v]]
+        snapshots = table.read(some).withColumn("symbol", F.upper("symbol"))
+        left = wanted.join(found.select("symbol"), "symbol", "left_anti") if at else wanted
+        newest = first_row(
+            snapshots.join(left, "symbol", "left_semi"), ["symbol"], [F.col("as_of_date").desc()]
+        )
+        found = newest if not at else found.unionByName(newest)
+        at, step = at + step, step * 2
+        if at < len(values) and wanted.join(found.select("symbol"), "symbol", "left_anti").isEmpty():
+            break
+    return latest_context(found)
+
+
 def join_context(quotes: DataFrame, latest: DataFrame) -> DataFrame:
     """Quotes with their symbol's baseline; unknown symbols are skipped."""
     return quotes.join(latest, "symbol")

@@ -1,172 +1,14 @@
-"""Table maintenance: upserts, partition overwrites, appends, event sync and layout.
-
-Without a table format that commits atomically, a table is a folder of immutable
-versions plus a pointer file naming the current one; the pointer is replaced by a
-rename as the last step, so a failed or repeated job leaves the old version current.
-"""
+"""Event sync and daily loading; the tables themselves are in ``tables.py``."""
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeline.functions.expr import iso
-
-ROWS_PER_FILE = 2_000_000
-
-
-# --- upsert ------------------------------------------------------------------------
-
-
-def duplicate_keys(source: DataFrame, keys: list[str]) -> DataFrame:
-    return source.groupBy(*keys).count().filter("count > 1")
-
-
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows the source does not match, plus all source rows.
-
-    The source's keys must be unique (``duplicate_keys``); ``VersionedTable.upsert``
-    checks that before it writes.
-    """
-    return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
-
-
-# --- layout ------------------------------------------------------------------------
-
-
-def compact_layout(df: DataFrame, cluster: list[str], sort: list[str]) -> DataFrame:
-    """Hash-distributed by ``cluster`` and sorted inside files by ``sort``.
-
-    The rebalance hint lets adaptive execution split a partition that one key fills
-    and merge small ones, so files come out near the advisory size either way.
-    """
-    return df.hint("rebalance", *cluster).sortWithinPartitions(*sort)
-
-
-# --- versioned tables -----------------------------------------------------------------
-
-
-class VersionedTable:
-    """A Parquet table whose content is replaced atomically."""
-
-    def __init__(
-        self, spark: SparkSession, path: str, schema: T.StructType | str,
-        partition_by: list[str] | None = None,
-    ) -> None:
-        self.spark = spark
-        self.path = path.rstrip("/")
-        self.schema = (
-            schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-        )
-        self.partition_by = partition_by or []
-        jvm = spark.sparkContext._jvm
-        self._path_class = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path_class(self.path).getFileSystem(
-            spark.sparkContext._jsc.hadoopConfiguration()
-        )
-
-    # The pointer is one small text file, written aside and renamed into place.
-
-    def _pointer(self):
-        return self._path_class(f"{self.path}/CURRENT")
-
-    def current(self) -> str | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        stream = self._fs.open(self._pointer())
-        try:
-            return stream.readUTF()
-        finally:
-            stream.close()
-
-    def _point_to(self, version: str) -> None:
-        aside = self._path_class(f"{self.path}/CURRENT.{version}")
-        out = self._fs.create(aside, True)
-        out.writeUTF(version)
-        out.close()
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            aside.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(
-            jvm.org.apache.hadoop.fs.Options.Rename, 1
-        )
-        options[0] = overwrite
-        context.rename(aside, self._pointer(), options)
-
-    def read(self) -> DataFrame:
-        version = self.current()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def is_empty(self) -> bool:
-        return self.read().isEmpty()
-
-    def _typed(self, df: DataFrame) -> DataFrame:
-        """Declared columns in declared order; absent ones are null, others refused."""
-        extra = set(df.columns) - set(self.schema.names)
-        if extra:
-            raise ValueError(f"undeclared columns: {sorted(extra)}")
-        have = set(df.columns)
-        return df.select(*[
-            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in self.schema.fields
-        ])
-
-    def replace(self, df: DataFrame, cluster: list[str] | None = None) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        out = self._typed(df)
-        if cluster:
-            out = compact_layout(out, cluster, cluster)
-        (
-            out.write.partitionBy(*self.partition_by)
-            .option("compression", "zstd").option("maxRecordsPerFile", ROWS_PER_FILE)
-            .parquet(f"{self.path}/{version}")
-        )
-        self._point_to(version)
-
-    def append(self, df: DataFrame) -> None:
-        """Add rows as one more version folder's worth of files.
-
-        New files land inside the current version; a table without one starts it.
-        """
-        if self.current() is None:
-            self.replace(df)
-            return
-        (
-            self._typed(df).write.mode("append").partitionBy(*self.partition_by)
-            .option("compression", "zstd").parquet(f"{self.path}/{self.current()}")
-        )
-
-    def upsert(self, source: DataFrame, keys: list[str]) -> None:
-        """Merge on unique keys; matched rows are overwritten, others inserted."""
-        typed = self._typed(source)
-        if not duplicate_keys(typed, keys).isEmpty():
-            raise ValueError(f"duplicate source rows for {keys}")
-        self.replace(upsert(self.read(), typed, keys), cluster=keys)
-
-    def seed_if_empty(self, rows: DataFrame) -> bool:
-        if not self.is_empty():
-            return False
-        self.replace(rows)
-        return True
-
-
-def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Replace exactly the partitions present in ``df``; refuse an empty one."""
-    if df.isEmpty():
-        raise RuntimeError(f"{path}: no rows, partitions are left as they are")
-    (
-        df.hint("rebalance", *partition_by).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        .partitionBy(*partition_by).parquet(path)
-    )
-
+from tapeline.operators.tables import VersionedTable, observed
 
 # --- event sync ----------------------------------------------------------------------
 
@@ -209,27 +51,33 @@ def sync_stats(events: DataFrame) -> DataFrame:
     )
 
 
-def run_sync(
-    events: DataFrame, history: VersionedTable, watermarks: VersionedTable, job: str,
-    written_at: str,
-) -> int:
-    """One sync run: append, and only then advance the watermark."""
-    row = watermarks.read().filter(F.col("job_name") == job).select("last_sync_at").first()
-    since = F.lit(row[0]) if row else F.timestamp_seconds(F.lit(0))
-    new = read_incremental(events, since)
-    stats = sync_stats(new).first()
-    if stats["new_events"] == 0:
-        return 0
-    # Later arrivals stay for the next run.
-    bounded = new.filter(F.col("triggered_at") <= F.lit(stats["next_watermark"]))
-    history.append(sync_events(bounded, written_at, history.read()))
-    watermarks.upsert(
-        watermarks.spark.createDataFrame(
-            [(job, stats["next_watermark"])], "job_name string, last_sync_at timestamp"
-        ),
-        ["job_name"],
+def run_sync(events: DataFrame, history: VersionedTable, job: str, written_at: str) -> int:
+    """One sync run: the rows after the job's watermark, and the watermark, in one commit.
+
+    The log is read once: the write itself finds the newest event it saw, which becomes
+    the watermark. A run that fails before the commit leaves both as
+    they were. Ids are looked up only in the days since the old watermark (the table is
+    partitioned by ``event_date``), since a synced event is never older than that.
+    """
+    mark = history.mark(job)
+    since = F.lit(mark or "1970-01-01T00:00:00Z").cast("timestamp")
+    seen = Observation()
+    new = read_incremental(events, since).observe(
+        seen, F.max(F.unix_micros("triggered_at")).alias("last_us")
     )
-    return stats["new_events"]
+    known = None
+    if mark is not None:
+        known = history.read().filter(F.col("event_date") >= F.to_date(since))
+    rows = sync_events(new, written_at, known).withColumn("event_date", F.to_date("event_ts"))
+
+    def watermark() -> dict[str, str]:
+        last = observed(seen).get("last_us")
+        if last is None:
+            return {}
+        at = dt.datetime.fromtimestamp(0, dt.UTC) + dt.timedelta(microseconds=last)
+        return {job: at.strftime("%Y-%m-%dT%H:%M:%S.%fZ")}
+
+    return history.append(rows, marks=watermark)
 
 
 # --- daily bar loading ----------------------------------------------------------------

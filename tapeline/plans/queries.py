@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 
 from tapeline.operators import (
     accounts, bars, clean, context, dims, indicators, maintain, news, render, routing, rules,
-    verdicts,
+    stages, tables, verdicts,
 )
 from tapeline.plans import derive as d
+from tapeline.schemas import DDL
 from tapeline.plans.oracle import CONTEXT, ROUND, TRACKED, _F, rounded, with_blocks
 from tapeline.session import checkpoint_dir, configure
 from tapeline.sources import documents, normalize
@@ -470,6 +471,15 @@ def build_fact(spark, sf_dir):
     return indicators.build_fact(d.joined_bars(spark, sf_dir), WRITTEN_AT)
 
 
+@query(f"""
+  SELECT {FACT_KEY}, i.volume, 'yfinance' AS data_source, round(vwap_estimate, 6) AS vwap,
+         {rounded(' '.join(_FACT))}, {_AT} AS loaded_at
+  FROM indicators i JOIN macd m USING (symbol_key, date_key)""")
+def fact_job(spark, sf_dir):
+    """The fact table after two loads of bars, each merged by the job."""
+    return _daily_tables(spark, sf_dir)["fact_ohlcv_daily"].read().drop("date_month")
+
+
 # --- context ----------------------------------------------------------------------------
 
 
@@ -498,6 +508,18 @@ def build_context(spark, sf_dir):
     )
 
 
+@query(f"""SELECT symbol, as_of_date, {rounded(_CTX)}, {_AT} AS updated_at FROM context_history
+           WHERE as_of_date = DATE '2021-06-01' OR as_of_date = (
+             SELECT max(as_of_date) FROM context_history)""")
+def context_job(spark, sf_dir):
+    """The snapshots of two days, written by the job from the stored fact; one of them twice."""
+    t = _daily_tables(spark, sf_dir)
+    table = stages.open_table(spark, _root(spark, "context"), "rule_engine_context")
+    for day in (20210601, 20210601, 99991231):
+        stages.refresh_context(t["fact_ohlcv_daily"], t["dim_symbol"], table, day, WRITTEN_AT)
+    return table.read()
+
+
 @query(f"SELECT symbol, as_of_date, {rounded(_CTX)} FROM context_history")
 def context_history(spark, sf_dir):
     """The snapshots of all days."""
@@ -506,7 +528,13 @@ def context_history(spark, sf_dir):
 
 @query(f"SELECT symbol, as_of_date, {rounded(' '.join(CONTEXT))} FROM rule_context")
 def latest_context(spark, sf_dir):
-    return context.latest_context(d.rule_context_history(spark, sf_dir))
+    """The newest snapshot per symbol, found in the retained ones from the newest month back."""
+    table = tables.VersionedTable(
+        spark, _root(spark, "retained"), DDL["rule_engine_context"] + ", month date", ["month"], ["symbol"]
+    )
+    history = d.rule_context_history(spark, sf_dir)
+    table.append(history.withColumn("month", F.trunc("as_of_date", "MM")))
+    return context.retained_context(table, d.dim_symbol(spark, sf_dir))
 
 
 @query("SELECT quote_id, symbol, event_ts, as_of_date, "
@@ -684,11 +712,143 @@ def upsert(spark, sf_dir):
         "symbol", "trade_date", *[(F.col(c) / 2).alias(c) for c in BAR.split()],
         F.lit(1).cast("bigint").alias("volume"),
     )
-    return maintain.upsert(
+    return tables.upsert(
         stale, fresh.filter(F.year("trade_date") >= 2019), ["symbol", "trade_date"]
     )
 
 
+# --- tables written and read back --------------------------------------------------
+
+
+def _root(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_BARS = BAR.split()
+
+
+@query(f"""
+  SELECT symbol, trade_date, trade_month, {rounded(BAR)}, volume FROM (
+    SELECT *, date_trunc('month', trade_date)::DATE AS trade_month FROM silver)
+  WHERE trade_date >= DATE '2019-01-01'
+  UNION ALL SELECT symbol, trade_date, date_trunc('month', trade_date)::DATE,
+    {", ".join(f"round({c} / 2, 6)" for c in _BARS)}, 1
+  FROM silver WHERE trade_date < DATE '2019-01-01'""")
+def upsert_written(spark, sf_dir):
+    """A stored stale table up to 2019, merged with bars from 2019 on by the cleaning job."""
+    silver = stages.open_table(spark, _root(spark, "upsert"), "ohlcv_daily")
+    raw = d.bars_raw(spark, sf_dir)
+    stale = clean.clean_ohlcv(raw.filter(F.year("trade_date") <= 2019), WRITTEN_AT).withColumns({
+        **{c: F.col(c) / 2 for c in _BARS}, "volume": F.lit(1).cast("bigint"),
+        "trade_month": F.trunc("trade_date", "MM"),
+    })
+    silver.append(stale, run="stale")
+    stages.clean_bars(raw.filter(F.year("trade_date") >= 2019), silver, WRITTEN_AT)
+    return silver.read().select("symbol", "trade_date", "trade_month", *_BARS, "volume")
+
+
+@query("""
+  SELECT * REPLACE (CASE WHEN published_date < DATE '2024-01-15' THEN 'OLD' ELSE source_name END
+    AS source_name) FROM silver_news""")
+def overwrite_partitions(spark, sf_dir):
+    """Stored news of all days, of which the cleaning job replaces those from the 15th on."""
+    table = stages.open_table(spark, _root(spark, "overwrite"), "news_clean")
+    table.append(d.cleaned_news(spark, sf_dir).withColumn("source_name", F.lit("OLD")))
+    late = d.cleaned_news(spark, sf_dir).filter(
+        F.col("published_date") >= F.lit("2024-01-15").cast("date")
+    )
+    table.overwrite_partitions(late)
+    return _news_columns(table.read().drop("cleaned_at"))
+
+
+_SYNCED = """SELECT * EXCLUDE (triggered_at) REPLACE (round(triggered_value, 6) AS triggered_value)
+             FROM synced"""
+
+
+@query(_SYNCED)
+def append(spark, sf_dir):
+    """The event log appended by three runs, the second of which is repeated."""
+    table = stages.open_table(spark, _root(spark, "append"), "fact_alert_history")
+    events = d.user_alert_events(spark, sf_dir)
+    day = F.dayofmonth("triggered_at")
+    cuts = {"first": day <= 10, "second": (day > 10) & (day <= 20), "third": day > 20}
+    for run in ("first", "second", "second", "third"):
+        rows = maintain.sync_events(events.filter(cuts[run]), WRITTEN_AT)
+        table.append(rows.withColumn("event_date", F.to_date("event_ts")), run=run)
+    return table.read().drop("event_date")
+
+
+@query(_SYNCED)
+def run_sync(spark, sf_dir):
+    """Three sync runs over a growing log, each of them followed by one that finds nothing."""
+    table = stages.open_table(spark, _root(spark, "sync"), "fact_alert_history")
+    events = d.user_alert_events(spark, sf_dir)
+    for upto in ("2024-01-10", "2024-01-20", "2100-01-01"):
+        log = events.filter(F.col("triggered_at") < F.lit(upto).cast("timestamp"))
+        for _ in range(2):
+            maintain.run_sync(log, table, "alerts", WRITTEN_AT)
+    return table.read().drop("event_date")
+
+
+@query(f"""SELECT symbol, trade_date, {rounded(BAR + ' adj_close vwap_estimate')}, volume
+           FROM silver""")
+def compact_layout(spark, sf_dir):
+    """Bars appended by five runs of a year each way, then packed into large files."""
+    table = tables.VersionedTable(
+        spark, _root(spark, "compact"), "symbol string, trade_date date, open double, high double, "
+        "low double, close double, adj_close double, vwap_estimate double, volume bigint, year int",
+        ["year"], ["symbol", "trade_date"],
+    )
+    rows = d.silver_bars(spark, sf_dir).withColumn("year", F.year("trade_date"))
+    for run in range(5):
+        table.append(
+            rows.filter(F.pmod(F.unix_date("trade_date"), F.lit(5)) == run).select(*table.schema.names)
+        )
+    table.compact()
+    return table.read().drop("year")
+
+
+def _daily_tables(spark, sf_dir):
+    """The daily jobs' tables: built once, in two loads, and kept for the queries that read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DAILY:
+        root = _root(spark, "daily")
+        t = {n: stages.open_table(spark, root, n) for n in
+             ("ohlcv_daily", "dim_symbol", "dim_date", "fact_ohlcv_daily")}
+        raw = d.bars_raw(spark, sf_dir)
+        stages.seed_calendar(spark, t["dim_date"])
+        stages.refresh_symbols(d.company_raw(spark, sf_dir, 1), t["dim_symbol"], d.FIRST_LOAD)
+        for first in (True, False):
+            stages.clean_bars(raw.filter((F.year("trade_date") < 2020) == first), t["ohlcv_daily"], WRITTEN_AT)
+            stages.refresh_fact(
+                t["ohlcv_daily"], t["dim_symbol"], t["dim_date"], t["fact_ohlcv_daily"], WRITTEN_AT
+            )
+        _DAILY[key] = t
+    return _DAILY[key]
+
+
+_DAILY: dict[tuple[str, str], dict[str, tables.VersionedTable]] = {}
+
+
+@query("""
+  SELECT d.* REPLACE (
+      is_active AND c.symbol IS NULL AS is_active,
+      CASE WHEN c.symbol IS NOT NULL THEN DATE '2021-06-01' END AS effective_to)
+  FROM dim_symbol d LEFT JOIN (SELECT symbol FROM scd_compared WHERE change = 'changed') c
+    ON d.symbol = c.symbol
+  UNION ALL BY NAME
+  SELECT CAST((SELECT max(symbol_key) FROM dim_symbol) + row_number() OVER (ORDER BY symbol)
+    AS INTEGER) AS symbol_key, symbol, """ + ", ".join(TRACKED) + """, true AS is_active,
+    DATE '2021-06-02' AS effective_from, CAST(NULL AS DATE) AS effective_to, 'finnhub' AS source
+  FROM scd_compared WHERE change <> 'same'""")
+def symbols_job(spark, sf_dir):
+    """The dimension table after two loads by the job."""
+    table = stages.open_table(spark, _root(spark, "symbols"), "dim_symbol")
+    for load, day in ((1, d.FIRST_LOAD), (2, d.SECOND_LOAD)):
+        stages.refresh_symbols(d.company_raw(spark, sf_dir, load), table, day)
+    return table.read()
+
+
 # --- event sync and accounts ---------------------------------------------------------------
 
 
