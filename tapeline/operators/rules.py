@@ -224,9 +224,9 @@ def match_rules(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _by_symbol(quotes: DataFrame, subjects: DataFrame) -> DataFrame:
+def _by_symbol(quotes: DataFrame, subjects: DataFrame, join=join_hot) -> DataFrame:
     listed = subjects.filter(~F.col("for_all")).drop("for_all")
-    return join_hot(quotes, listed.withColumnRenamed("subject", "symbol"), ["symbol"], "quote_id")
+    return join(quotes, listed.withColumnRenamed("subject", "symbol"), ["symbol"], "quote_id")
 
 
 #: Steps of the scale that thresholds are sorted into per unit of its argument.
@@ -251,7 +251,12 @@ def _side(operator: Column) -> Column:
     )
 
 
-def candidates(values: DataFrame, rules: DataFrame) -> DataFrame:
+def join_plain(big: DataFrame, shared: DataFrame, on: list[str], salt: str) -> DataFrame:
+    """``join_hot`` for a stream, whose rows cannot be counted first; a trigger is bounded."""
+    return big.join(shared, on)
+
+
+def candidates(values: DataFrame, rules: DataFrame, join=join_hot) -> DataFrame:
     """Quotes with the rules that may fire on them, with the rule's current and previous value.
 
     ``values`` has f_<field> and prev_f_<field>. Rules that list symbols meet the quotes
@@ -262,7 +267,7 @@ def candidates(values: DataFrame, rules: DataFrame) -> DataFrame:
     """
     subjects = rule_subjects(rules).drop("symbols")
     names = [f"{p}{f}" for f in FIELDS for p in ("f_", "prev_f_")]
-    listed = _by_symbol(values, subjects).withColumns(
+    listed = _by_symbol(values, subjects, join).withColumns(
         {"current": _by_field("f_"), "previous": _by_field("prev_f_")}
     ).drop(*names)
 
@@ -296,7 +301,7 @@ def candidates(values: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("at", F.explode(F.filter("cells", reached)))
         .select(*long.columns, "at.side", "at.cell")
     )
-    wild = join_hot(placed, everywhere, ["field", "side", "cell"], "quote_id").drop("side", "cell")
+    wild = join(placed, everywhere, ["field", "side", "cell"], "quote_id").drop("side", "cell")
     return listed.unionByName(wild)
 
 
@@ -402,7 +407,12 @@ def eval_custom_rules(
         "quote_id", "symbol", "event_ts", "ts_s",
         *[f"f_{f}" for f in FIELDS], *[f"prev_f_{f}" for f in FIELDS],
     )
-    pairs = candidates(values, rules.filter("rule_id is not null and status = 'ACTIVE'"))
+    return fired(values, rules)
+
+
+def fired(values: DataFrame, rules: DataFrame, join=join_hot) -> DataFrame:
+    """The pairs of ``candidates`` whose condition holds."""
+    pairs = candidates(values, rules.filter("rule_id is not null and status = 'ACTIVE'"), join)
     return pairs.filter(
         condition(F.col("current"), F.col("operator"), F.col("threshold"), F.col("previous"))
     ).withColumn("triggered_value", F.col("current")).select(*MATCH_COLUMNS)

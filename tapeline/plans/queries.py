@@ -18,11 +18,13 @@ from tapeline.operators import (
     stages, tables, verdicts,
 )
 from tapeline.plans import derive as d
-from tapeline.schemas import DDL
+from tapeline.schemas import DDL, schema
 from tapeline.plans.oracle import CONTEXT, ROUND, TRACKED, _F, rounded, with_blocks
 from tapeline.session import checkpoint_dir, configure
 from tapeline.sources import documents, normalize
-from tapeline.streaming import jobs
+from tapeline.sources.tables import read_stream_json
+from tapeline.streaming import jobs, stateful
+from tapeline.streaming.engine import RuleStreams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1253,54 +1255,114 @@ def render_confirmed_text(spark, sf_dir):
 # --- streams over the given tables --------------------------------------------------
 
 
-def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+#: Micro-batches that a stream query works off, in order of time.
+BATCHES = 4
 
 
-EVENTS = (
-    "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-)
+def _messages(spark: SparkSession, df: DataFrame, part: Column, broken: str | None = None) -> str:
+    """A topic stand-in: ``df`` as JSON messages, one folder write per value of ``part``.
+
+    Files are read in order of their modification time, ``BATCHES`` files at a time, and every
+    write makes as many. With ``broken`` some messages are copied without their end.
+    """
+    root = _root(spark, "messages")
+    columns = [c for c in df.columns]
+    tagged = df.withColumn("_part", part)
+    for n in range(BATCHES):
+        rows = tagged.filter(F.col("_part") == n)
+        text = F.to_json(F.struct(*columns))
+        if broken is not None:
+            cut = F.when(F.expr(broken), F.substr(text, F.lit(1), F.length(text) - 1))
+            text = F.explode(F.array_compact(F.array(text, cut)))
+        rows.select(text.alias("value")).repartition(BATCHES).write.mode("append").text(root)
+    return root
+
+
+def _topic(spark: SparkSession, path: str, contract: str, rescue: str | None = None) -> DataFrame:
+    declared = T.StructType.fromDDL(contract)
+    return read_stream_json(spark, path, declared, files_per_trigger=BATCHES, rescue=rescue)
 
 
 def _run_to_end(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all available rows and read what it appended."""
-    root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = _root(spark, name)
     jobs.stream_write(df, f"{root}/table", f"{root}/checkpoint", every=None).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/table")
 
 
+def _by_day(ts: Column) -> Column:
+    """Four parts of the time of events, the last one open."""
+    eight_days = F.floor((F.unix_timestamp(ts) - 1704067200) / (8 * 86400))
+    return F.greatest(F.least(eight_days, F.lit(BATCHES - 1)), F.lit(0)).cast("int")
+
+
+TICK = "tick_id bigint, " + DDL["trade_tick"]
+
+
 @query(f"""SELECT bar_ts, symbol, {rounded(BAR + ' vwap')}, volume, trade_count, bar_date
            FROM bars_1min WHERE bar_ts + INTERVAL 1 MINUTE <= (
              SELECT make_timestamp(max(timestamp_ms) * 1000) - INTERVAL 5 MINUTE FROM ticks)""")
 def stream_bars_1min(spark, sf_dir):
-    """Bars the watermark has closed when the stream has read every tick."""
-    raw = d.ticks_of(_stream_events(spark, sf_dir))
-    ticks = normalize.normalize_trades(raw, keep=("tick_id",))
-    return _run_to_end(spark, jobs.stream_bars_1min(ticks, tie="tick_id"), "stream-bars")
+    """Bars of JSON tick messages, some broken, over four micro-batches, closed by the watermark."""
+    ticks = normalize.normalize_trades(d.raw_ticks(spark, sf_dir), keep=("tick_id",))
+    quarter = F.floor((F.col("timestamp_ms") - 1704067200000) / (3_600_000 * 0.9)).cast("int")
+    path = _messages(
+        spark, ticks.select("tick_id", *schema("trade_tick").names), F.least(quarter, F.lit(3)), "tick_id % 50 = 0"
+    )
+    heard = _topic(spark, path, TICK, "broken").filter("broken is null").drop("broken")
+    return _run_to_end(spark, jobs.stream_bars_1min(heard, tie="tick_id"), "stream-bars")
+
+
+@query("""SELECT message_id, tick_id FROM (
+            SELECT tick_id, unnest([0, 1]) AS message_id FROM ticks WHERE tick_id % 50 = 0)
+          WHERE message_id = 1""")
+def read_stream_json_broken(spark, sf_dir):
+    """The broken messages of the tick topic, kept as text by the rescue column."""
+    ticks = normalize.normalize_trades(d.raw_ticks(spark, sf_dir), keep=("tick_id",))
+    path = _messages(
+        spark, ticks.select("tick_id", *schema("trade_tick").names), F.pmod("tick_id", F.lit(BATCHES)).cast("int"),
+        "tick_id % 50 = 0",
+    )
+    broken = _topic(spark, path, TICK, "broken").filter("broken is not null").select("broken")
+    kept = _run_to_end(spark, broken, "stream-broken")
+    number = F.regexp_extract("broken", r'^\{"tick_id":(\d+)', 1).cast("bigint")
+    return kept.select(F.lit(1).alias("message_id"), number.alias("tick_id"))
 
 
 @query("SELECT DISTINCT alert_id, symbol, event_ts, rule_name FROM alerts")
 def dedup_alerts(spark, sf_dir):
-    """Every alert sent twice; each passes once."""
-    sent = d.alerts_of(_stream_events(spark, sf_dir)).drop("context_snapshot")
+    """Every alert sent twice, as JSON messages over four micro-batches; each passes once."""
+    sent = d.alerts(spark, sf_dir)
     twice = sent.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return _run_to_end(spark, jobs.dedup_alerts(twice), "stream-alerts").select(
+    path = _messages(spark, twice, _by_day(F.to_timestamp("event_ts")))
+    heard = _topic(spark, path, DDL["alert_event"])
+    return _run_to_end(spark, jobs.dedup_alerts(heard), "stream-alerts").select(
         "alert_id", "symbol", "event_ts", "rule_name"
     )
 
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+@query("""
+  SELECT article_id, symbol, source_name, title, md5(description) AS description_md5, url, category,
+         date_trunc('second', published_at) AS published_at,
+         date_trunc('second', fetched_at) AS fetched_at, published_at::DATE AS published_date
+  FROM articles WHERE trim(title) <> '' AND trim(url) <> ''
+  QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY url) = 1
+    AND count(*) OVER (PARTITION BY article_id) = 1""")
+def stream_ingest_news(spark, sf_dir):
+    """All columns of the news messages that have an id of their own, over four micro-batches.
 
+    Of two events with one id either may pass first; those are left to
+    ``stream_news_ids``, which compares ids alone.
+    """
+    passed = _news_stream(spark, sf_dir)
+    shared = d.articles(spark, sf_dir).filter("trim(title) <> '' AND trim(url) <> ''").groupBy("article_id").agg(
+        F.count(F.lit(1)).alias("n")
+    ).filter("n > 1")
+    return _news_columns(passed.join(shared, "article_id", "left_anti"))
 
-@query("SELECT DISTINCT article_id FROM articles WHERE trim(title) <> '' AND trim(url) <> ''")
-def stream_ingest_news(spark, sf_dir):
-    """News events from all documents; of two events with one id either may pass first."""
-    docs = spark.readStream.schema(DOCUMENTS).option(
-        "pathGlobFilter", "documents.parquet"
-    ).parquet(sf_dir)
-    a = d.articles_of(docs)
+
+def _news_stream(spark, sf_dir):
+    a = d.articles(spark, sf_dir)
     millis = lambda c: F.unix_millis(c).cast("string")
     events = a.select(
         "article_id", "symbol", F.col("title").alias("headline"),
@@ -1308,4 +1370,62 @@ def stream_ingest_news(spark, sf_dir):
         "category", millis(F.col("published_at")).alias("published_at_ms"),
         millis(F.col("fetched_at")).alias("fetched_at_ms"),
     )
-    return _run_to_end(spark, jobs.ingest_news(events), "stream-news").select("article_id")
+    path = _messages(spark, events, _by_day(F.timestamp_millis(F.col("published_at_ms").cast("bigint"))))
+    return _run_to_end(spark, jobs.ingest_news(_topic(spark, path, DDL["news_event"])), "stream-news")
+
+
+@query("SELECT DISTINCT article_id FROM articles WHERE trim(title) <> '' AND trim(url) <> ''")
+def stream_news_ids(spark, sf_dir):
+    """Ids of the news messages: each passes once."""
+    return _news_stream(spark, sf_dir).select("article_id")
+
+
+QUOTE_MESSAGE = "quote_id bigint, " + DDL["quote_event"]
+
+
+def _rule_streams(spark, sf_dir) -> RuleStreams:
+    """Both rule streams run over the quotes of four micro-batches."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RULE_STREAMS:
+        quotes = d.quotes(spark, sf_dir).select("quote_id", *schema("quote_event").names)
+        path = _messages(spark, quotes, _by_day(F.to_timestamp("event_ts")))
+        streams = RuleStreams(
+            spark, _root(spark, "rules"), lambda: _topic(spark, path, QUOTE_MESSAGE),
+            lambda: d.rule_context(spark, sf_dir), lambda: d.user_rules(spark, sf_dir),
+        )
+        streams.start()
+        streams.await_all()
+        _RULE_STREAMS[key] = streams
+    return _RULE_STREAMS[key]
+
+
+_RULE_STREAMS: dict[tuple[str, str], RuleStreams] = {}
+
+
+@query(f"SELECT {_ALERT_SQL} FROM system_alerts JOIN sys_cand USING (symbol, rule_name, ts_s, "
+       "quote_id) JOIN sys_fires USING (symbol, rule_name, ts_s)")
+def stream_system_alerts(spark, sf_dir):
+    """Built-in rules with cooldown as a stream: equal to the batch job."""
+    return _alert_view(_rule_streams(spark, sf_dir).alerts("system_alerts"))
+
+
+@query(f"SELECT {_MATCH} FROM custom_cooled UNION ALL SELECT {_MATCH} FROM once_fired")
+def stream_custom_alerts(spark, sf_dir):
+    """User rules with crossings, cooldowns and ONCE as a stream: equal to the batch jobs."""
+    return _rule_streams(spark, sf_dir).alerts("custom_alerts")
+
+
+@query("""SELECT alert_id, symbol, rule_name, event_ts, at_s AS due_s FROM rechecks
+          WHERE at_s <= (SELECT max(epoch_us(CAST(replace(event_ts, 'Z', '') AS TIMESTAMP)) // 1000000)
+                         FROM rechecks)""")
+def stream_rechecks(spark, sf_dir):
+    """Re-checks of UNEXPLAINED alerts by timers; every 50th alert comes a micro-batch late."""
+    confirmed = _confirmed(spark, sf_dir).select("alert_id", "symbol", "rule_name", "event_ts", "judgement")
+    at = _by_day(F.to_timestamp("event_ts"))
+    late = F.pmod(F.xxhash64("alert_id"), F.lit(50)) == 0
+    path = _messages(spark, confirmed, F.when(late, F.least(at + 1, F.lit(BATCHES - 1))).otherwise(at))
+    heard = _topic(
+        spark, path, "alert_id string, symbol string, rule_name string, event_ts string, judgement string"
+    )
+    jobs.use_rocksdb(spark)
+    return _run_to_end(spark, stateful.stream_rechecks(heard), "stream-rechecks").drop("due_at")

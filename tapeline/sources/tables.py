@@ -35,19 +35,34 @@ def read_jdbc(
     return reader.load().select(*columns)
 
 
-def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """JSON text or bytes to the contract's columns; malformed messages become null rows."""
-    return df.select(F.from_json(F.col(value).cast("string"), schema).alias("d")).select("d.*")
+def parse_json(
+    df: DataFrame, schema: T.StructType, value: str = "value", rescue: str | None = None
+) -> DataFrame:
+    """JSON text or bytes to the contract's columns; malformed messages become null rows.
+
+    With ``rescue`` a column of that name keeps the text of a message that is no JSON
+    object or does not fit the contract, and is null for all others.
+    """
+    text = F.col(value).cast("string")
+    if rescue is None:
+        return df.select(F.from_json(text, schema).alias("d")).select("d.*")
+    whole = T.StructType([*schema.fields, T.StructField(rescue, T.StringType())])
+    parsed = F.from_json(text, whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": rescue})
+    kept = F.when(F.col("d").isNull(), F.col("m")).otherwise(F.col(f"d.`{rescue}`"))
+    return df.select(text.alias("m"), parsed.alias("d")).select(
+        *[F.col(f"d.`{f.name}`") for f in schema.fields], kept.alias(rescue)
+    )
 
 
 def read_stream_json(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1,
+    rescue: str | None = None,
 ) -> DataFrame:
     """Topic stand-in: a folder of JSON-line files, a capped number per trigger."""
     raw = (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).load(path)
     )
-    return parse_json(raw, schema)
+    return parse_json(raw, schema, rescue=rescue)
 
 
 def read_stream_kafka(
