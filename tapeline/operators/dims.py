@@ -298,26 +298,38 @@ def new_versions(rows: DataFrame, dimension: DataFrame | None, as_of: str) -> Da
 def scd2_apply(dimension: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     """The dimension after one snapshot: changed versions closed, new versions added.
 
-    Symbols absent from the snapshot stay active.
+    One outer join of the active versions with the snapshot yields both: a row gives its
+    old version, closed where it changed, and its new one where there is one. Symbols
+    absent from the snapshot stay active, and closed versions meet nothing.
     """
-    compared = scd_left_compare(incoming, dimension)
-    changed = compared.filter("change = 'changed'").select("symbol", F.lit(True).alias("_close"))
-    closing = F.col("_close") & F.col("is_active")
-    kept = (
-        dimension.join(changed, "symbol", "left")
-        .select(
-            *[
-                F.when(closing, F.lit(False)).otherwise(F.col("is_active")).alias("is_active")
-                if c == "is_active"
-                else F.when(closing, F.date_sub(F.lit(as_of).cast("date"), 1))
-                .otherwise(F.col("effective_to")).alias("effective_to")
-                if c == "effective_to"
-                else F.col(c)
-                for c in DIM_SYMBOL_COLUMNS
-            ]
-        )
+    old, new = F.col("_old"), F.col("_new")
+    snapshot = incoming.select(F.col("symbol").alias("_symbol"), F.struct("symbol", *TRACKED).alias("_new"))
+    stored = dimension.select("symbol", "is_active", F.struct(*DIM_SYMBOL_COLUMNS).alias("_old"))
+    both = stored.join(
+        snapshot, (F.col("symbol") == F.col("_symbol")) & F.col("is_active"), "full_outer"
+    )
+    differs = any_of([~old[c].eqNullSafe(new[c]) for c in TRACKED])
+    opens = new.isNotNull() & (old.isNull() | differs)
+    closes = old.isNotNull() & new.isNotNull() & differs
+    day = F.lit(as_of).cast("date")
+    kept = F.struct(*[
+        F.when(closes, False).otherwise(old[c]).alias(c) if c == "is_active"
+        else F.when(closes, F.date_sub(day, 1)).otherwise(old[c]).alias(c) if c == "effective_to"
+        else old[c].alias(c)
+        for c in DIM_SYMBOL_COLUMNS
+    ])
+    fixed = {
+        "symbol_key": F.lit(None).cast("int"), "is_active": F.lit(True), "effective_from": day,
+        "effective_to": F.lit(None).cast("date"), "source": F.lit(COMPANY_FEED),
+    }
+    opened = F.struct(*[(fixed[c] if c in fixed else new[c]).alias(c) for c in DIM_SYMBOL_COLUMNS])
+    versions = both.select(F.inline(F.array_compact(F.array(
+        F.when(old.isNotNull(), kept), F.when(opens, opened)
+    ))))
+    fresh = assign_surrogate_keys(
+        versions.filter("symbol_key is null").drop("symbol_key"), dimension
     )
-    return kept.unionByName(new_versions(union_scd(compared), dimension, as_of))
+    return versions.filter("symbol_key is not null").unionByName(fresh)
 
 
 def active_symbols(dimension: DataFrame) -> DataFrame:

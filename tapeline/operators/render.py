@@ -35,12 +35,13 @@ def escape_html(text: Column) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), HTML_ESCAPES, text)
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+def _grouped(value: Column, digits: int) -> Column:
+    """Fixed digits with thousands separators, rounded half-even on the exact binary value."""
+    return F.format_number(value, digits)
 
 
-def _grouped(value: Column, digits: int) -> Column:
-    return F.format_string(f"%,.{digits}f", F.bround(value, digits))
+def _fixed(value: Column, digits: int) -> Column:
+    return F.replace(_grouped(value, digits), F.lit(","), F.lit(""))
 
 
 def readable_number(value: Column) -> Column:
@@ -51,34 +52,46 @@ def readable_number(value: Column) -> Column:
     )
 
 
+# How a number is written, by unit.
+UNITS = {
+    "price": lambda v: F.concat(F.lit("$"), _grouped(v, 2)),
+    "volume": lambda v: F.concat(readable_number(v), F.lit(" shares")),
+    "ratio": lambda v: F.concat(_fixed(v, 2), F.lit("×")),
+    "score": lambda v: F.concat(_fixed(v, 2), F.lit("σ")),
+    "percent": lambda v: F.concat(_fixed(v * 100, 2), F.lit("%")),
+    "index": lambda v: _fixed(v, 1),
+}
+# The unit of a rule's value.
+RULE_UNITS = {
+    "price_zscore": "score", "volume_zscore": "score", "volume_ratio": "ratio", "intraday_range": "percent",
+}
+
+
+def _in_unit(unit: Column, value: Column) -> Column:
+    written = readable_number(value)
+    for name, form in UNITS.items():
+        written = F.when(unit == name, form(value)).otherwise(written)
+    return written
+
+
 def context_value(key: Column, value: Column) -> Column:
-    """Snapshot value with the unit its key implies."""
+    """Snapshot value in the unit its key implies."""
     k = F.lower(key)
-    return (
-        F.when(k.isin(PRICE_KEYS), F.concat(F.lit("$"), _grouped(value, 2)))
-        .when(F.contains(k, F.lit("volume")), F.concat(readable_number(value), F.lit(" shares")))
-        .when(F.contains(k, F.lit("ratio")), F.concat(_fixed(value, 2), F.lit("×")))
-        .when(
-            F.startswith(k, F.lit("z_")) | F.contains(k, F.lit("zscore")),
-            F.concat(_fixed(value, 2), F.lit("σ")),
-        )
-        .when(F.contains(k, F.lit("rsi")), _fixed(value, 1))
-        .otherwise(readable_number(value))
-    )
+    # Words of a key and their unit; the first that occurs counts.
+    unit = F.when(k.isin(PRICE_KEYS), "price")
+    for word, name in (("volume", "volume"), ("ratio", "ratio"), ("zscore", "score"), ("rsi", "index")):
+        unit = unit.when(F.contains(k, F.lit(word)) if name != "score" else k.rlike("^z_|zscore"), name)
+    return _in_unit(unit.otherwise(""), value)
 
 
 def metric_value(rule: Column, value: Column) -> Column:
-    """Triggered value or threshold with the rule's unit."""
-    return (
-        F.when(rule.isin("price_zscore", "volume_zscore"), F.concat(_fixed(value, 2), F.lit("σ")))
-        .when(rule == "volume_ratio", F.concat(_fixed(value, 2), F.lit("×")))
-        .when(rule == "intraday_range", F.concat(_fixed(value * 100, 2), F.lit("%")))
-        .otherwise(readable_number(value))
-    )
+    """Triggered value or threshold in the rule's unit."""
+    names = F.create_map(*[F.lit(x) for pair in RULE_UNITS.items() for x in pair])
+    return _in_unit(F.coalesce(F.try_element_at(names, rule), F.lit("")), value)
 
 
 def readable_time(event_ts: Column) -> Column:
-    """``2026-06-30 16:50 UTC``, or the text itself when it is no timestamp."""
+    """Date and time to the minute in UTC, or the text itself when it is no timestamp."""
     return F.coalesce(
         F.date_format(F.try_to_timestamp(event_ts), "yyyy-MM-dd HH:mm 'UTC'"), event_ts
     )

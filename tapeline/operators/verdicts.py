@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.functions import sketch
 from tapeline.functions.expr import iso, iso_seconds
 from tapeline.operators.news import evidence_lists, published_text
 
@@ -207,12 +208,28 @@ def seconds_histogram(verdicts: DataFrame) -> DataFrame:
     return histogram(verdicts, F.col("latency_s"), SECONDS_BUCKETS)
 
 
+#: Quantiles of the time to a verdict that are reported.
+LATENCY_SHARES = {"p50_seconds": 0.5, "p95_seconds": 0.95}
+
+
+def latency_seconds() -> Column:
+    return iso_seconds(F.col("emitted_at")) - iso_seconds(F.col("event_ts"))
+
+
+def latency_sketch(followups: DataFrame) -> DataFrame:
+    """(new_judgement, bin, n): the quantile sketch of the follow-ups' latencies, to be stored
+    per day and merged."""
+    return sketch.sketch(followups, ["new_judgement"], latency_seconds())
+
+
 def explanation_latency(followups: DataFrame) -> DataFrame:
-    """Event to follow-up verdict in seconds, per new verdict."""
-    seconds = iso_seconds(F.col("emitted_at")) - iso_seconds(F.col("event_ts"))
-    return followups.filter("event_ts is not null").groupBy("new_judgement").agg(
+    """Event to follow-up verdict in seconds, per new verdict; quantiles within one per cent."""
+    seconds = latency_seconds()
+    exact = followups.filter("event_ts is not null").groupBy("new_judgement").agg(
         F.count(F.lit(1)).alias("followups"),
         F.avg(seconds).alias("avg_seconds"),
         F.min(seconds).alias("min_seconds"),
         F.max(seconds).alias("max_seconds"),
     )
+    shares = sketch.quantiles(latency_sketch(followups), ["new_judgement"], LATENCY_SHARES)
+    return exact.join(shares, "new_judgement", "left")

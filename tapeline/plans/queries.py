@@ -17,6 +17,8 @@ from tapeline.operators import (
     accounts, bars, clean, context, dims, indicators, maintain, news, render, routing, rules,
     stages, tables, verdicts,
 )
+from tapeline.functions import sketch
+from tapeline.functions.expr import iso
 from tapeline.plans import derive as d
 from tapeline.schemas import DDL, schema
 from tapeline.plans.oracle import CONTEXT, ROUND, TRACKED, _F, rounded, with_blocks
@@ -620,12 +622,29 @@ def join_rule_owner(spark, sf_dir):
     ).select("rule_id", "user_id", "status", "chat_id")
 
 
+@query("""
+  SELECT r.rule_id, q.symbol, count(*) AS quotes, min(event_ts) AS first_ts, max(event_ts) AS last_ts,
+         CAST(sum(q.quote_id) AS BIGINT) AS quote_ids
+  FROM user_rules r JOIN quotes q ON r.symbols = ['*'] OR list_contains(r.symbols, q.symbol)
+  GROUP BY 1, 2""")
+def match_rules(spark, sf_dir):
+    """The quote/rule pairs of the operator, counted per rule and symbol with a sum of their ids."""
+    pairs = rules.match_rules(
+        d.quotes(spark, sf_dir).select("quote_id", "symbol", "event_ts"),
+        d.user_rules(spark, sf_dir).select("rule_id", "symbols"),
+    )
+    return pairs.groupBy("rule_id", "symbol").agg(
+        F.count(F.lit(1)).alias("quotes"), F.min("event_ts").alias("first_ts"),
+        F.max("event_ts").alias("last_ts"), F.sum("quote_id").alias("quote_ids"),
+    )
+
+
 @query("""
   SELECT r.rule_id, count(DISTINCT q.symbol) AS matched_symbols, count(*) AS matched_quotes,
          min(event_ts) AS first_ts, max(event_ts) AS last_ts
   FROM user_rules r JOIN quotes q ON r.symbols = ['*'] OR list_contains(r.symbols, q.symbol)
   GROUP BY 1""")
-def match_rules(spark, sf_dir):
+def rule_coverage(spark, sf_dir):
     """What each rule watches, counted without forming the quote/rule pairs."""
     return rules.rule_coverage(d.quotes(spark, sf_dir), d.user_rules(spark, sf_dir))
 
@@ -1045,7 +1064,11 @@ def _gated(spark, sf_dir):
 
 
 def _confirmed(spark, sf_dir):
-    return verdicts.fail_open(d.alerts(spark, sf_dir), _gated(spark, sf_dir))
+    """Confirmed alerts: stored, since follow-ups, history and text all read them."""
+    return d.stored(
+        spark, sf_dir, "confirmed",
+        lambda: verdicts.fail_open(d.alerts(spark, sf_dir), _gated(spark, sf_dir)),
+    )
 
 
 def _followups(spark, sf_dir):
@@ -1153,13 +1176,36 @@ def seconds_histogram(spark, sf_dir):
     return verdicts.seconds_histogram(answers)
 
 
-@query("""
-  SELECT new_judgement, count(*) AS followups, avg(s) AS avg_seconds, min(s) AS min_seconds,
-         max(s) AS max_seconds FROM (
-    SELECT new_judgement, emitted_s - epoch_us(CAST(replace(event_ts, 'Z', '') AS TIMESTAMP))
-      // 1000000 AS s FROM followups) GROUP BY 1""")
+_WAIT = " + ".join(
+    f"(instr('0123456789abcdef', substr(ref_alert_id, {i}, 1)) - 1) * {16 ** (7 - i)}" for i in (5, 6, 7)
+)
+_G = repr(sketch.gamma())
+
+
+_TIMED = f"""(SELECT new_judgement, emitted_s + {_WAIT}
+  - epoch_us(CAST(replace(event_ts, 'Z', '') AS TIMESTAMP)) // 1000000 AS s FROM followups)"""
+
+
+def _sql_share(share: float) -> str:
+    return f"round(2 * pow({_G}::DOUBLE, min(bin) FILTER (upto >= total * {share})) / ({_G}::DOUBLE + 1), 6)"
+
+
+@query(f"""
+  SELECT new_judgement, followups, avg_seconds, min_seconds, max_seconds, p50_seconds, p95_seconds
+  FROM (SELECT new_judgement, count(*) AS followups, round(avg(s), 6) AS avg_seconds, min(s) AS min_seconds,
+               max(s) AS max_seconds FROM {_TIMED} GROUP BY 1)
+  JOIN (SELECT new_judgement, {_sql_share(0.5)} AS p50_seconds, {_sql_share(0.95)} AS p95_seconds
+        FROM (SELECT *, sum(n) OVER (PARTITION BY new_judgement ORDER BY bin) AS upto,
+                     sum(n) OVER (PARTITION BY new_judgement) AS total
+              FROM (SELECT new_judgement, count(*) AS n,
+                           CAST(ceil(ln(s::DOUBLE) / ln({_G}::DOUBLE)) AS INTEGER) AS bin
+                    FROM {_TIMED} GROUP BY ALL)) GROUP BY 1) USING (new_judgement)""")
 def explanation_latency(spark, sf_dir):
-    return verdicts.explanation_latency(_followups(spark, sf_dir))
+    """Time to the follow-up's verdict where re-checks wait up to 68 minutes in their queue."""
+    wait = F.conv(F.substring("ref_alert_id", 5, 3), 16, 10).cast("bigint")
+    at = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp("emitted_at")) + wait)
+    followups = _followups(spark, sf_dir).withColumn("emitted_at", iso(at))
+    return verdicts.explanation_latency(followups)
 
 
 # --- routing ----------------------------------------------------------------------------------------
@@ -1176,15 +1222,35 @@ def resolve_subscribers(spark, sf_dir):
     return _subscribers(spark, sf_dir)
 
 
-@query("""
+_WANTED = "subscribers s ON s.subject IN ('*', a.symbol)"
+
+
+@query(f"SELECT a.alert_id, a.symbol, a.rule_name, s.user_id, s.chat_id FROM alerts a JOIN {_WANTED}")
+def fan_out(spark, sf_dir):
+    """One row per alert and recipient."""
+    return routing.fan_out(d.alerts(spark, sf_dir), _subscribers(spark, sf_dir)).select(
+        "alert_id", "symbol", "rule_name", "user_id", "chat_id"
+    )
+
+
+@query(f"""
   SELECT s.user_id, s.chat_id, count(*) AS alerts, min(a.event_ts) AS first_ts,
          max(a.event_ts) AS last_ts
-  FROM alerts a JOIN subscribers s ON s.subject IN ('*', a.symbol) GROUP BY 1, 2""")
-def fan_out(spark, sf_dir):
+  FROM alerts a JOIN {_WANTED} GROUP BY 1, 2""")
+def fan_out_totals(spark, sf_dir):
     """Alerts per recipient, counted without forming the alert/recipient rows."""
     return routing.fan_out_totals(d.alerts(spark, sf_dir), _subscribers(spark, sf_dir))
 
 
+@query(f"""SELECT a.ref_alert_id, a.symbol, a.kind, a.new_judgement, s.user_id, s.chat_id
+           FROM followups a JOIN {_WANTED}""")
+def fan_out_followups(spark, sf_dir):
+    """Follow-ups to the readers of their symbol."""
+    return routing.fan_out_followups(_followups(spark, sf_dir), _subscribers(spark, sf_dir)).select(
+        "ref_alert_id", "symbol", "kind", "new_judgement", "user_id", "chat_id"
+    )
+
+
 @query("""
   SELECT alert_id, a.symbol, event_ts, rule_name, severity, triggered_value, threshold,
          'system' AS alert_source, '2024-02-01T00:00:00Z' AS written_at, s.user_id
@@ -1209,7 +1275,9 @@ def route_custom(spark, sf_dir):
 
 
 @query("""
-  SELECT alert_id, symbol, CASE WHEN stage = 'send' THEN user_id END AS user_id, chat_id,
+  SELECT alert_id, symbol, event_ts, rule_name, severity, triggered_value, threshold,
+         '{"z_score":' || CAST(triggered_value AS VARCHAR) || '}' AS context_snapshot,
+         CASE WHEN stage = 'send' THEN user_id END AS user_id, chat_id,
          CASE WHEN stage = 'lookup' THEN 'subscriber_lookup'
               WHEN stage = 'history' THEN 'history_write'
               WHEN failure IN ('rate_limit', 'permanent') THEN failure ELSE 'transport' END
@@ -1220,9 +1288,8 @@ def route_custom(spark, sf_dir):
 def dead_letters(spark, sf_dir):
     letters = routing.dead_letters(d.delivery_outcomes(spark, sf_dir), rules.ALERT_COLUMNS)
     return letters.select(
-        "original_event.alert_id", "original_event.symbol", "recipient.user_id",
-        "recipient.chat_id", "reason", "error", "failed_at_ms", "attempt_count",
-    )
+        "original_event.*", "recipient.*", "reason", "error", "failed_at_ms", "attempt_count",
+    ).withColumn("context_snapshot", F.to_json("context_snapshot"))
 
 
 @query("""
@@ -1244,12 +1311,79 @@ def render_alert_text(spark, sf_dir):
     return render.render_custom(events).select("event_id", "alert_text")
 
 
-@query()
+def _esc(x: str) -> str:
+    for raw, safe in render.HTML_ESCAPES:
+        x = f"replace({x}, '{raw.replace(chr(39), chr(39) * 2)}', '{safe}')"
+    return x
+
+
+def _sql_number(v: str) -> str:
+    return (f"CASE WHEN {v} = floor({v}) THEN printf('%.0f', {v}) "
+            f"ELSE regexp_replace(printf('%.4f', {v}), '0+$', '') END")
+
+
+def _sql_metric(v: str) -> str:
+    return (f"CASE WHEN rule_name IN ('price_zscore', 'volume_zscore') THEN printf('%.2f', {v}) || 'σ' "
+            f"WHEN rule_name = 'volume_ratio' THEN printf('%.2f', {v}) || '×' "
+            f"WHEN rule_name = 'intraday_range' THEN printf('%.2f', {v} * 100) || '%' ELSE {_sql_number(v)} END")
+
+
+def _sql_refs(refs: str, heading: str) -> str:
+    return f"""SELECT alert_id, chr(10) || '📰 <b>{heading}</b>' || chr(10) || string_agg('  • '
+        || CASE WHEN url <> '' THEN '<a href="' || {_esc('url')} || '">' || {_esc('title')} || '</a>'
+           ELSE {_esc('title')} END
+        || CASE WHEN source <> '' THEN ' — <i>' || {_esc('source')} || '</i>' ELSE '' END,
+      chr(10) ORDER BY ref_no) AS block FROM {refs} WHERE ref_no <= 3 GROUP BY 1"""
+
+
+_BADGE = "CASE severity WHEN 'HIGH' THEN '🔴' ELSE '🟡' END"
+_TITLE = "CASE rule_name " + " ".join(
+    f"WHEN '{r}' THEN '{r.replace('_', ' ').title()}'" for r in
+    ("price_zscore", "volume_zscore", "volume_ratio", "bollinger_breakout", "rsi_extreme", "intraday_range")
+) + " END"
+_BATCH_RULE = "rule_name IN ('rsi_extreme', 'bollinger_breakout')"
+_LABEL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in render.VERDICT_LABELS.items())
+
+
+@query(f"""
+  SELECT c.alert_id, concat_ws(chr(10),
+    {_BADGE} || ' <b>' || severity || ' ALERT</b> · <b>' || symbol || '</b>',
+    '📋 Rule: <b>' || {_TITLE} || '</b>',
+    '📊 Value: <b>' || {_sql_metric('triggered_value')} || '</b> (threshold <b>' || {_sql_metric('threshold')}
+      || '</b>)',
+    '🕐 ' || replace(substr(event_ts, 1, 16), 'T', ' ') || ' UTC',
+    chr(10) || '<b>Context</b>' || chr(10) || '  • z_score: <b>' || printf('%.2f', triggered_value) || 'σ</b>',
+    CASE WHEN {_BATCH_RULE} THEN '{render.BATCH_NOTE_HTML}' END,
+    chr(10) || '🤖 <b>AI Analysis: ' || CASE judgement {_LABEL} END || '</b>',
+    {_esc("nullif(final_explanation, '')")}, CASE WHEN refs > 0 THEN r.block END) AS alert_text
+  FROM confirmed c LEFT JOIN ({_sql_refs('refs', 'Related news')}) r ON c.alert_id = r.alert_id""")
 def render_confirmed_text(spark, sf_dir):
     """HTML text of all confirmed alerts."""
     return render.render_confirmed(_confirmed(spark, sf_dir)).select("alert_id", "alert_text")
 
 
+@query(f"""
+  SELECT alert_id, concat_ws(chr(10), {_BADGE} || ' *' || severity || ' ALERT* — `' || symbol || '`',
+    'Rule: *' || {_TITLE} || '*',
+    'Triggered value: `' || CAST(triggered_value AS VARCHAR) || '` (threshold: `3.0`)',
+    'Time: `' || event_ts || '`', 'Context:' || chr(10) || '  • `z_score`: `'
+      || CAST(triggered_value AS VARCHAR) || '`',
+    CASE WHEN {_BATCH_RULE} THEN '{render.BATCH_NOTE}' END) AS alert_text
+  FROM alerts""")
+def render_plain_text(spark, sf_dir):
+    """Markdown text of all alerts."""
+    return render.render_plain(d.alerts(spark, sf_dir)).select("alert_id", "alert_text")
+
+
+@query(f"""
+  SELECT ref_alert_id, concat_ws(chr(10), '📰 <b>Follow-up Update · ' || symbol || '</b>',
+    prev_judgement || ' → <b>' || new_judgement || '</b>  '
+      || CASE kind WHEN 'FLIP' THEN '🔄 <b>VERDICT CHANGED</b>' ELSE '✅ <b>CONFIRMED</b>' END,
+    {_esc("nullif(news_summary, '')")}, r.block) AS alert_text
+  FROM followups f LEFT JOIN ({_sql_refs('refs2', 'New evidence')}) r ON f.ref_alert_id = r.alert_id""")
+def render_followup_text(spark, sf_dir):
+    """HTML text of all follow-ups."""
+    return render.render_followup(_followups(spark, sf_dir)).select("ref_alert_id", "alert_text")
 
 
 # --- streams over the given tables --------------------------------------------------
