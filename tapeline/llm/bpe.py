@@ -17,8 +17,8 @@ from tapeline.llm.common import read
 
 #: Fixed value: the published split pattern of this vocabulary's tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces and chunks that one Python worker remembers before it starts anew.
-MEMO = 400_000
+#: Distinct pieces, and chunks, of each of the two generations that one Python worker remembers.
+MEMO = 120_000
 #: Characters of the texts whose chunks are learnt together.
 RUN = 4_000_000
 #: Pieces of up to this many bytes are merged many at a time.
@@ -26,6 +26,8 @@ SHORT = 64
 #: ... so many, which bounds the memory of their trees.
 TOGETHER = 20_000
 NONE = np.int64(2**62)
+#: The same in the narrow leaves of short pieces.
+OPEN = np.int32(2**31 - 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -139,68 +141,100 @@ def merge_many(pieces: list[bytes], size: int, m: Merges) -> list[list[int]]:
     flat = m.single[np.frombuffer(b"".join(pieces), np.uint8)]
     row = np.repeat(np.arange(n), lengths)
     col = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ids = np.full((n, size + 2), -1, np.int64)  # symbol i in column i + 1, -1 at both ends
-    ids[row, col + 1] = flat
-    tree = np.full((n, 2 * size), NONE)
-    rank = m.rank(ids[:, 1:-1].ravel(), ids[:, 2:].ravel()).reshape(n, size)
-    tree[:, size:] = np.where(rank < NONE, rank * size + np.arange(size), NONE)
+    wide = size + 2
+    ids = np.full(n * wide, -1, np.int64)  # symbol i of a piece in place i + 1, -1 at both ends
+    ids[row * wide + col + 1] = flat
+    grid = ids.reshape(n, wide)
+    tree = np.full((n, 2 * size), OPEN, np.int32)
+    rank = m.rank(grid[:, 1:-1].ravel(), grid[:, 2:].ravel()).reshape(n, size)
+    tree[:, size:] = np.where(rank < NONE, rank * size + np.arange(size), OPEN)
     width = size
     while width > 1:
         level = tree[:, width : 2 * width]
         np.minimum(level[:, 0::2], level[:, 1::2], out=tree[:, width // 2 : width])
         width //= 2
-    after = np.broadcast_to(np.arange(1, size + 3), (n, size + 2)).copy()
-    before = np.broadcast_to(np.arange(-1, size + 1), (n, size + 2)).copy()
-    live = np.flatnonzero(tree[:, 1] < NONE)
+    tree = tree.ravel()
+    after = np.tile(np.arange(1, wide + 1), n)
+    before = np.tile(np.arange(-1, wide - 1), n)
+    live = np.flatnonzero(tree[1 :: 2 * size] < OPEN)
     while len(live):
-        root = tree[live, 1]
-        r, i = root // size, root % size + 1
-        j = after[live, i]
-        k = after[live, j]
-        ids[live, i] = m.made[r]
-        ids[live, j] = -1
-        after[live, i] = k
-        before[live, k] = i
-        h = before[live, i]
-        new = m.rank(ids[live, i], ids[live, k])
-        old = m.rank(ids[live, h], ids[live, i])
-        tree[live, size + j - 1] = NONE
-        tree[live, size + i - 1] = np.where(new < NONE, new * size + i - 1, NONE)
-        has = h > 0
-        tree[live[has], size + h[has] - 1] = np.where(old < NONE, old * size + h - 1, NONE)[has]
-        for at, rows in ((size + j - 1, live), (size + i - 1, live), (size + h[has] - 1, live[has])):
-            at = at >> 1
-            while len(at) and at[0] >= 1:
-                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
-                at = at >> 1
-        live = live[tree[live, 1] < NONE]
+        base, at_root = live * wide, live * (2 * size)
+        r, i = np.divmod(tree[at_root + 1].astype(np.int64), size)
+        i += 1
+        j = after[base + i]
+        k = after[base + j]
+        made = m.made[r]
+        ids[base + i] = made
+        ids[base + j] = -1
+        after[base + i] = k
+        before[base + k] = i
+        h = before[base + i]
+        new = m.rank(made, ids[base + k])
+        old = m.rank(ids[base + h], made)
+        # Three leaves change; where nothing stands before the pair, the first one does twice.
+        left = np.where(h > 0, h, i)
+        leaves = np.concatenate([at_root + size + j - 1, at_root + size + left - 1, at_root + size + i - 1])
+        tree[leaves] = np.concatenate([
+            np.full(len(live), OPEN), np.where(old < NONE, old * size + h - 1, OPEN),
+            np.where(new < NONE, new * size + i - 1, OPEN),
+        ])
+        roots = np.tile(at_root, 3)
+        at = leaves - roots
+        while at[0] > 1:
+            at >>= 1
+            below = roots + 2 * at
+            tree[roots + at] = np.minimum(tree[below], tree[below + 1])
+        live = live[tree[at_root + 1] < OPEN]
+    ids = grid
     body = ids[:, 1:-1]
     keep = body >= 0
     flat, ends = body[keep].tolist(), np.cumsum(keep.sum(1)).tolist()
     return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+class Memory:
+    """What is known of strings, in two generations of bounded size.
+
+    What a run of texts needs is brought into the newer generation; when that is full it
+    becomes the older one, and what nobody needed for a whole generation is forgotten.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.known: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def missing(self, need: set[str]) -> set[str]:
+        """Brings forward what ``need`` holds of the older generation; returns what is unknown."""
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > self.size:
+            self.old, self.known, new = self.known, {}, need
+        old = self.old
+        kept = new.intersection(old)
+        self.known.update([(s, old[s]) for s in kept])
+        return new.difference(kept) if kept else new
+
+
 class Coder:
     """Encodes and decodes whole texts; remembers a bounded number of pieces.
 
     A text is cut into chunks at every space between two characters that are not white
     space: the split pattern always starts a piece there, so the chunks' pieces are the
-    text's pieces, and chunks repeat far more often than texts. Of a chunk it remembers
-    its ids, the same as text, and the bytes they decode to; ``inner`` chunks stand
-    after such a space, which is part of them, ``outer`` ones do not.
+    text's pieces, and chunks repeat far more often than texts. Of a piece it remembers
+    its ids, the same as text, and the bytes they decode to; a chunk joins those of its
+    pieces. ``inner`` chunks stand after such a space, which is part of them, ``outer``
+    ones do not.
     """
 
     def __init__(self, tables: dict, memo: int = MEMO):
-        self.merges, self.tables, self.memo = Merges(tables), tables, memo
+        self.merges, self.tables = Merges(tables), tables
         self.numerals = {i: str(i) for i in tables["bytes"]}
         self.split = regex.compile(SPLIT)
         self.beside = re.compile(r" (?:\s|(?<=\s ))")  # a space next to other white space
         self.between = re.compile(r"(?<=\S) (?=\S)")
         special = sorted(tables["special"], key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.inner: dict[str, tuple] = {}
-        self.outer: dict[str, tuple] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.inner, self.outer, self.pieces = Memory(memo), Memory(memo // 4), Memory(memo)
 
     def _pieces(self, chunk: str, space: str) -> tuple[str, ...] | list[str]:
         if chunk.isalpha():
@@ -213,34 +247,37 @@ class Coder:
         numerals, data = self.numerals, self.tables["bytes"]
         return ids, ",".join([numerals[i] for i in ids]), b"".join([data[i] for i in ids])
 
+    @staticmethod
+    def _joined(parts: list[tuple]) -> tuple:
+        return (
+            [i for part in parts for i in part[0]], ",".join([part[1] for part in parts]),
+            b"".join([part[2] for part in parts]),
+        )
+
     def _merge(self, new: set[str]) -> None:
-        if len(self.pieces) + len(new) > self.memo:
-            self.pieces.clear()
         sized: dict[int, list[str]] = {}
         for p in new:
             n = len(p.encode())
             sized.setdefault(0 if n > SHORT else max(4, 1 << (n - 1).bit_length()), []).append(p)
+        known = self.pieces.known
         for size, ps in sized.items():
             if not size:
-                self.pieces.update((p, merge_one(p.encode(), self.merges)) for p in ps)
+                for p in ps:
+                    known[p] = self._known(merge_one(p.encode(), self.merges))
                 continue
             for at in range(0, len(ps), TOGETHER):
                 some = ps[at : at + TOGETHER]
                 done = merge_many([p.encode() for p in some], size, self.merges)
-                self.pieces.update(zip(some, done, strict=True))
+                known.update(zip(some, map(self._known, done), strict=True))
 
     def _learn(self, chunks: set[str], space: str, into: dict[str, tuple]) -> None:
         gc.disable()  # many small objects without a cycle among them
         try:
             split = {c: self._pieces(c, space) for c in chunks}
-            need = {p for ps in split.values() for p in ps}
-            pieces = self.pieces
-            new = {p for p in need if p not in pieces}
-            if len(pieces) + len(new) > self.memo:
-                new = need  # the memory of pieces starts anew
-            self._merge(new)
+            self._merge(self.pieces.missing(set().union(*split.values())))
+            pieces = self.pieces.known
             for c, ps in split.items():
-                into[c] = self._known(pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]])
+                into[c] = pieces[ps[0]] if len(ps) == 1 else self._joined([pieces[p] for p in ps])
         finally:
             gc.enable()
 
@@ -249,46 +286,46 @@ class Coder:
             return self.between.split(text)
         return text.split(" ")
 
-    def _plain(self, text: str) -> list[tuple]:
+    def _plain(self, text: str, cut: list[str] | None = None) -> list[tuple]:
         if not text:
             return []
-        first, *rest = self.cut(text)
-        if first not in self.outer:
-            if len(self.outer) > self.memo // 4:
-                self.outer.clear()
-            self._learn({first}, "", self.outer)
-        known = self.inner
+        first, *rest = cut or self.cut(text)
+        inner, outer = self.inner.known, self.outer.known
         try:
-            return [self.outer[first], *[known[c] for c in rest]]
+            return [outer[first], *[inner[c] for c in rest]]
         except KeyError:
-            self._learn({c for c in rest if c not in known}, " ", known)
-            return [self.outer[first], *[known[c] for c in rest]]
-
-    def warm(self, texts: list[str | None]) -> None:
-        """Learns the chunks of some texts at once.
-
-        When the memory is full, what these texts do not need is forgotten; frequent
-        chunks stay, as nearly every run of texts needs them.
-        """
+            self._need({first}, set(rest))
+            inner = self.inner.known
+            return [self.outer.known[first], *[inner[c] for c in rest]]
+
+    def _need(self, first: set[str], rest: set[str]) -> None:
+        for memory, chunks, space in ((self.inner, rest, " "), (self.outer, first, "")):
+            new = memory.missing(chunks)
+            if new:
+                self._learn(new, space, memory.known)
+
+    def warm(self, texts: list[str | None]) -> list[list[str] | None]:
+        """Learns the chunks of some texts at once; returns the chunks of each plain text."""
         need: set[str] = set()
         first: set[str] = set()
+        out: list[list[str] | None] = []
         for text in texts:
+            cut = None
             if text and (self.special is None or not self.special.search(text)):
-                head, *rest = self.cut(text)
-                first.add(head)
-                need.update(rest)
-        if len(self.inner) + len(need) > self.memo:
-            self.inner = {c: k for c in need if (k := self.inner.get(c)) is not None}
-        if len(self.outer) + len(first) > self.memo // 4:
-            self.outer.clear()
-        self._learn({c for c in need if c not in self.inner}, " ", self.inner)
-        self._learn({c for c in first if c not in self.outer}, "", self.outer)
-
-    def encode(self, text: str | None) -> list[tuple]:
+                cut = self.cut(text)
+                first.add(cut[0])
+                need.update(cut[1:])
+            out.append(cut)
+        self._need(first, need)
+        return out
+
+    def encode(self, text: str | None, cut: list[str] | None = None) -> list[tuple]:
         """A text's ids in groups (ids, numerals, bytes); a null text has none.
 
-        Special strings keep their id.
+        Special strings keep their id. ``cut`` are the chunks that ``warm`` returned.
         """
+        if cut:
+            return self._plain(text, cut)
         if not text or self.special is None or not self.special.search(text):
             return self._plain(text or "")
         out, at = [], 0
@@ -351,15 +388,14 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Tr
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             counts, ids, digests, decoded = [], [], [], []
-            left = 0
+            cuts: list = []
             for at, t in enumerate(texts):
-                if not left:
-                    left = run_of(texts, at)
-                    coder.warm(texts[at : at + left])
-                left -= 1
-                groups = coder.encode(t)
-                counts.append(sum([len(g[0]) for g in groups]))
-                digests.append(hashlib.sha256(",".join([g[1] for g in groups]).encode()).hexdigest())
+                if not cuts:
+                    cuts = coder.warm(texts[at : at + run_of(texts, at)])[::-1]
+                groups = coder.encode(t, cuts.pop())
+                listed = ",".join([g[1] for g in groups])
+                counts.append(listed.count(",") + 1 if groups else 0)
+                digests.append(hashlib.sha256(listed.encode()).hexdigest())
                 if keep_ids:
                     ids.append([i for g in groups for i in g[0]])
                 decoded.append(hashlib.sha256(coder.decode(groups).encode()).hexdigest())
