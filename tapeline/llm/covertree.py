@@ -253,6 +253,7 @@ def _load(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64)
     x = flat.reshape(-1, dim)
+    x = x / np.abs(x).max(1, initial=0)[:, None]  # squares of very small or large components stay finite
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 

@@ -179,3 +179,11 @@ def test_vectors_against_brute_force(spark, monkeypatch):
 
 def test_threshold_distance():
     assert math.isclose(float(covertree._distance(np.array(0.95))), math.sqrt(0.1))
+
+
+def test_vectors_of_extreme_length_link_by_direction(spark):
+
+    rows = [(1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [1e-170, 2e-170]), (4, [1e308, 1.7e308]), (5, [5e-324, 0.0]), (6, [1.0, 0.0])]
+    got = covertree.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == {
+        1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
