@@ -6,6 +6,7 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,20 @@ MARKS = re.compile(
     r"replies|reply|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
     r"widget|toolbar|pagination|pager|search|complementary|contentinfo)$"
 )
+#: What may stand beside such a word in one class name, as in "site-footer" or
+#: "comments-area"; any other compound ("has-sidebar", "related-work") marks nothing.
+BESIDE = frozenset(
+    "area bar block bottom box btn button container content desktop float floating form global inner item items left "
+    "link links list main mobile page panel post posts primary right secondary section site slot sticky stories "
+    "sub top unit wrap wrapper".split()
+)
+#: Elements that no class name marks, and words that mark nothing inside an article.
+WHOLE = frozenset("html body main article".split())
+PROSE = frozenset("alert notice search header footer widget overlay".split())
+#: Elements that may stand inside each other; what is deeper lies flat in the last of them.
+DEEP = 100
+#: Entries of the table by which two sequences of parts are aligned.
+TABLE = 250_000
 #: Share of a node's text that one child must hold to be the place of the article instead.
 MOST = 0.7
 #: A slot beside that place is boilerplate when this share of a host's distinct pages, and
@@ -41,7 +56,8 @@ FAN, HOSTS = 64, 2_000
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<",
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|"
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|$)|[^<]++|<",  # a quote left open ends with the tag
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,59 +65,97 @@ _EDGE = re.compile(r"[\s_-]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def marked(name: str, inside: bool) -> bool:
+    """Whether one class name, id or role says that an element is not the article.
+
+    The whole name is a marking word, or a compound of one or more with words that only
+    say where or what a box is. Inside an article only whole names count.
+    """
+    if MARKS.match(name):
+        return not (inside and name in PROSE)
+    words = [w for w in _EDGE.split(name) if w]
+    if inside or len(words) < 2:
+        return False
+    return any(MARKS.match(w) for w in words) and all(
+        w in BESIDE or w.isdigit() or MARKS.match(w) for w in words
+    )
+
+
 def label(tag: str, attributes: str, inside: bool) -> str:
     """The symbol of an element: its name, with ``!`` in front where it is no article."""
     if tag in ASIDE and not (inside and tag == "header"):
         return "!" + tag
-    if "=" in attributes:
+    if "=" in attributes and tag not in WHOLE and not (inside and tag in LEAVES):
         for m in _NAMED.findall(attributes):
-            words = _EDGE.split("".join(m).lower())
-            if any(MARKS.match(w) for w in words) and not (inside and "header" in words):
+            if any(marked(name, inside) for name in "".join(m).lower().split()):
                 return "!" + tag
     return tag
 
 
-def parse(page: str) -> list:
+def parse(page: str, classes: bool = True) -> list:
     """The token stream of a page in balanced groups: [label, children], texts as strings.
 
     Comments, scripts and the like are left out, inline tags are part of the text, a
     paragraph ends where a block begins, an end tag closes what it can, and what is
-    still open at the end is closed.
+    still open at the end is closed. Elements more than ``DEEP`` levels down follow each
+    other in the last level. Without ``classes`` only elements' own names mark.
     """
     root: list = ["", []]
     stack = [root]
     inside = 0
+    flat: dict[int, dict[str, int]] = {}  # per level, the open elements that lie flat in it
+
+    def shrink(depth: int) -> None:
+        del stack[depth:]
+        for level in [x for x in flat if x > depth]:
+            del flat[level]
+
     for m in _TOKEN.finditer(page):
-        tag = m[3]
+        tag = m[3] or m[6]
         if tag is None:
             if m[1] is None and not m[0].startswith(("<!", "<?")):
                 stack[-1][1].append(m[0])
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), m[4] or m[7] or ""
         if tag in INLINE:
             if tag == "br":
                 stack[-1][1].append(" ")
             continue
-        if m[2]:
+        if m[2] or m[5]:
+            lying = flat.get(len(stack))
+            if lying and lying.get(tag):
+                lying[tag] -= 1
+                stack[-1][1].append(["", []])
+                continue
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0].lstrip("!") == tag), 0)
             if depth:
                 inside -= sum(x[0] in ("article", "main") for x in stack[depth:])
-                del stack[depth:]
+                shrink(depth)
             else:
                 stack[-1][1].append(["", []])  # a stray end tag still parts two blocks
             continue
         while stack[-1][0].lstrip("!") in LEAVES and (tag in LEAVES or tag in ("div", "ul", "ol", "table", "section", "article")):
             if stack[-1][0].lstrip("!") in ("li", "dd", "td", "th", "blockquote") and tag != stack[-1][0].lstrip("!"):
                 break
-            stack.pop()
-        node = [label(tag, m[4], inside > 0), []]
+            shrink(len(stack) - 1)
+        node = [label(tag, attributes if classes else "", inside > 0), []]
         stack[-1][1].append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append(node)
-            inside += node[0] in ("article", "main")
+        if tag not in VOID and not attributes.endswith("/"):
+            if len(stack) < DEEP or (node[0].startswith("!") and not stack[-1][0].startswith("!")):
+                stack.append(node)
+                inside += node[0] in ("article", "main")
+            else:
+                lying = flat.setdefault(len(stack), {})
+                lying[tag] = lying.get(tag, 0) + 1
     return root
 
 
+def tree(page: str | None) -> list:
+    """``parse``, without class names where these would leave nothing of a page."""
+    root = parse(page or "")
+    return root if any(True for _ in blocks(root, None)) else parse(page or "", classes=False)
+
+
 def blocks(node: list, path: list[str] | None, at: str = "", kind: str = "own") -> list[tuple[str, str, str]]:
     """(labels from the root, kind, text) per block of a parsed group, without those marked ``!``.
 
@@ -179,10 +233,7 @@ def align(a: list, b: list) -> list:
     ka, kb = [_key(x) for x in a], [_key(x) for x in b]
     if ka == kb:
         return [unify(x, y) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs = dict(matches(ka, kb))
     out: list = []
 
     def add(x: list, matched: bool) -> None:
@@ -192,20 +243,65 @@ def align(a: list, b: list) -> list:
         else:
             out.append(x if matched else [x[0], "*" if x[1] in "+*" else "?", *x[2:]])
 
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            add(unify(a[i], b[j]), True)
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            add(a[i], False)
-            i += 1
-        else:
+    j = 0
+    for i, x in enumerate(a):
+        if i not in pairs:
+            add(x, False)
+            continue
+        while j < pairs[i]:
             add(b[j], False)
             j += 1
+        add(unify(x, b[j]), True)
+        j += 1
+    for y in b[j:]:
+        add(y, False)
     return out
 
 
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of a common run of labels, in order.
+
+    Equal ends are matched first. What is between is matched by its longest common run,
+    or, where the table for that would be too large, each label with the next free one of
+    its kind, in time and memory that grow with the labels alone.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [(i, i) for i in range(head)]
+    n, m = len(a) - head - tail, len(b) - head - tail
+    if n * m > TABLE:
+        places: dict[str, list[int]] = {}
+        for j in range(head, head + m):
+            places.setdefault(b[j], []).append(j)
+        at = head
+        for i in range(head, head + n):
+            own = places.get(a[i], [])
+            k = bisect_left(own, at)
+            # A partner far ahead would leave out all labels before it.
+            if k < len(own) and own[k] - at <= m // max(n, 1) + 8:
+                out.append((i, own[k]))
+                at = own[k] + 1
+    else:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[head + i] == b[head + j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if a[head + i] == b[head + j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+
+
 def fold(parts_: list, longest: int = 4) -> list:
     """Turns adjacent equal runs of up to ``longest`` parts into repeated groups."""
     for size in range(1, longest + 1):
@@ -306,7 +402,7 @@ def extract(page: str | None, path: list[str] | None, shared: dict[str, str] | N
     is the shared one; a shared slot in an element of its own is no article's place on
     this host, so it goes with any text where the page has text in the host's place.
     """
-    found = blocks(parse(page or ""), path)
+    found = blocks(tree(page), path)
     shared = shared or {}
     own = any(kind == "own" for _, kind, _ in found)
     gone = set()
@@ -351,7 +447,7 @@ def infer(pages: DataFrame, host: str, html: str) -> DataFrame:
 
         for batch in batches:
             for name, page in zip(*_lists(batch, "host", "html"), strict=True):
-                w = wrapper(parse(page or ""))
+                w = wrapper(tree(page))
                 s = shape(w)
                 shapes = hosts.setdefault(name, {})
                 if s in shapes:
@@ -415,7 +511,7 @@ def constant(pages: DataFrame, host: str, html: str, known: DataFrame) -> DataFr
         for batch in batches:
             out: list[tuple] = []
             for name, path, copy, page in zip(*_lists(batch, "host", "path", "copy", "html"), strict=True):
-                got = slots(blocks(parse(page or ""), path)) or {"": ""}
+                got = slots(blocks(tree(page), path)) or {"": ""}
                 out += [(name, copy, slot, digest) for slot, digest in got.items()]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(

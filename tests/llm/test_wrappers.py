@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.llm import wrappers as W
 
@@ -74,3 +75,125 @@ def test_shared_slots_beside_the_article_go(spark):
 def test_given_pages_hold_no_markup(spark, sf_dir):
     for r in W.query(spark, sf_dir).collect():
         assert r["text"] and r["n_chars"] == len(r["text"]) and "<" not in r["text"] and "©" not in r["text"]
+
+
+@pytest.mark.parametrize("mark", [
+    '<body class="has-sidebar">{}</body>', '<div class="right-sidebar-layout">{}</div>', '<div class="content-with-sidebar">{}</div>',
+    '<div class="no-banner">{}</div>', '<div class="post search-result">{}</div>', '<body class="sidebar menu">{}</body>',
+    '<main class="search">{}</main>', '<div class="sidebar">{}</div>',
+])
+def test_class_names_do_not_cost_a_page(spark, mark):
+    rows = [(i, f"http://a.org/{i}", mark.replace("{}", f"<p>text {'x' * i} of this page</p>")) for i in range(1, 7)]
+    got = W.with_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"text {'x' * r['page_id']} of this page" for r in got)
+
+
+def test_marks_inside_an_article():
+    inner = ('<p class="alert">a</p><div class="related-work">b</div><div class="notice">c</div><h2 class="menu">d</h2>'
+             '<div class="comments">gone</div><div class="post ad">gone</div><header>e</header>')
+    assert W.extract(f"<article>{inner}</article>", None) == "a\nb\nc\nd\ne"
+    outside = ('<div class="site-footer">x</div><div class="cookie-banner bottom">x</div><div id="comments-area">x</div>'
+               '<div class="left sidebar">x</div><div role="complementary">x</div><div class="ad_slot_3">x</div>')
+    assert W.extract(f"{outside}<article><p>t</p></article>", None) == "t"
+
+
+def test_an_open_quote_ends_with_its_tag():
+    assert W.extract('<p title="open>text</p><p>more', None) == "text\nmore"
+
+
+@pytest.mark.parametrize("deep", [99, 100, 101, 1_500, 5_000])
+def test_deep_pages(deep):
+    page = "<div>" * deep + "<p>in</p><div class=ad>x</div><p>side" + "</div>" * deep + "<p>out</p>"
+    assert W.extract(page, None) == "in\nside\nout"
+    W.expression(W.unify(W.wrapper(W.parse(page)), W.wrapper(W.parse("<p>x</p>" + page))))
+
+
+def test_very_many_children(spark):
+    import random
+
+    rng = random.Random(1)
+    tags = ["section", "figure", "ul", "div", "p", "h3"]
+    rows = [
+        (i, "http://a.org/", "<body>" + "".join(f"<{t}>{i}.{k}</{t}>" for k, t in enumerate(rng.choices(tags, k=20_000))) + "</body>")
+        for i in range(3)
+    ]
+    got = W.with_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_path", F.lit("mine"))).collect()
+    assert all(r["text"].split("\n") == [f"{r['page_id']}.{k}" for k in range(20_000)] for r in got)
+
+
+def test_matches_are_a_longest_common_run():
+    import random
+
+    rng = random.Random(2)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        return best[-1][-1]
+
+    for _ in range(300):
+        a, b = (rng.choices("abc", k=rng.randint(0, 12)) for _ in "ab")
+        got = W.matches(a, b)
+        assert len(got) == longest(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def plain_text(page):
+    """Text of all elements that no tag name or whole class name of the fixture marks."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.run, self.skip = [], "", []
+
+        def cut(self):
+            if self.run.strip():
+                self.out.append(" ".join(self.run.split()))
+            self.run = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "a"):
+                return
+            self.cut()
+            if self.skip or tag in ("nav", "footer") or dict(attrs).get("class") == "ad":
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("b", "a"):
+                return
+            self.cut()
+            if self.skip:
+                self.skip.pop()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.run += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return "\n".join(reader.out)
+
+
+def test_random_pages_equal_a_plain_reader(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "p", "h2", "nav", "div class=ad", "footer", "ul"])
+        name = tag.split()[0]
+        if name in ("p", "h2") or depth == 0:
+            inner = f"w{rng.random():.6f} <b>b</b> &amp; x" if name != "ul" else f"<li>i{rng.random():.6f}</li>"
+        else:
+            inner = "".join(element(depth - 1) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inner}</{name}>"
+
+    rows = [(i, f"http://h{i % 3}.org/{i}", "<body><article>" + element(3) + "<p>end</p></article></body>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in W.with_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        assert got[i] == plain_text(page), page
