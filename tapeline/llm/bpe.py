@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,7 @@ from tapeline.llm.common import read
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces, and chunks, of each of the two generations that one Python worker remembers.
 MEMO = 120_000
-#: Characters of the texts whose chunks are learnt together.
+#: Bytes of the texts whose chunks are learnt together.
 RUN = 4_000_000
 #: Pieces of up to this many bytes are merged many at a time.
 SHORT = 64
@@ -341,13 +342,10 @@ class Coder:
         return b"".join([g[2] for g in groups]).decode("utf-8", "replace")
 
 
-def run_of(texts: list[str | None], at: int) -> int:
-    """How many texts from ``at`` on are learnt together: ``RUN`` characters, one text at least."""
-    size = n = 0
-    while at + n < len(texts) and (not n or size < RUN):
-        size += len(texts[at + n] or "")
-        n += 1
-    return n
+def run_of(sizes: np.ndarray, at: int) -> int:
+    """How many texts from ``at`` on are coded together: ``RUN`` bytes, one text at least."""
+    upto = np.cumsum(sizes[at:])
+    return max(int(np.searchsorted(upto, RUN, side="right")), 1)
 
 
 _CODERS: dict[str, Coder] = {}
@@ -385,26 +383,35 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = Tr
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(handle, key)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            counts, ids, digests, decoded = [], [], [], []
-            cuts: list = []
-            for at, t in enumerate(texts):
-                if not cuts:
-                    cuts = coder.warm(texts[at : at + run_of(texts, at)])[::-1]
-                groups = coder.encode(t, cuts.pop())
-                listed = ",".join([g[1] for g in groups])
-                counts.append(listed.count(",") + 1 if groups else 0)
-                digests.append(hashlib.sha256(listed.encode()).hexdigest())
-                if keep_ids:
-                    ids.append([i for g in groups for i in g[0]])
-                decoded.append(hashlib.sha256(coder.decode(groups).encode()).hexdigest())
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            columns.append(pa.array(counts, pa.int64()))
+        for whole in batches:
+            column = whole.column(whole.schema.get_field_index(text))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < whole.num_rows:  # a batch goes out in runs, so its ids are never held together
+                left = run_of(sizes, at)
+                batch = whole.slice(at, left)
+                at += left
+                yield one_run(coder, batch)
+
+    def one_run(coder: Coder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        counts, ids, digests, decoded = [], [], [], []
+        for t, cut in zip(texts, coder.warm(texts), strict=True):
+            groups = coder.encode(t, cut)
+            listed = ",".join([g[1] for g in groups])
+            counts.append(listed.count(",") + 1 if groups else 0)
+            digests.append(hashlib.sha256(listed.encode()).hexdigest())
             if keep_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-            columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+                ids.append(np.array([i for g in groups for i in g[0]], np.int32))
+            decoded.append(hashlib.sha256(coder.decode(groups).encode()).hexdigest())
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+        columns.append(pa.array(counts, pa.int64()))
+        if keep_ids:
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+        columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     columns = list(dict.fromkeys([*names, text]))
     return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(code, schema)
