@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from tapeline.llm import bpe, lines, minhash, mixing, perplexity
 
 
+#: Bytes of an Arrow batch: texts, their words and their ids are held per batch.
+BATCH_BYTES = "8m"
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside their language's perplexity band that pass the base rules."""
+    _bounded(spark)
     return perplexity.judge(docs).filter("kept").select(*docs.columns)
 
 
@@ -21,6 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    _bounded(spark)
     return minhash.deduplicated(docs)
 
 
@@ -31,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded text."""
+    _bounded(spark)
     return bpe.with_ids(docs.select("doc_id", "lang", "source", "text"), bpe.vocabulary()).drop("text")
 
 
