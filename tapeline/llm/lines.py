@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import SPACE, fresh, saved
 
 #: A line is boilerplate of a host when more than this share of its pages has it ...
-MAX_RATIO = 0.1
+MAX_RATIO = 0.02
 #: ... and at least so many pages do, so that small hosts keep their lines.
 MIN_PAGES = 5
 
@@ -25,16 +25,20 @@ def boilerplate(
 ) -> DataFrame:
     """Per host the keys of its boilerplate lines: (host, pages, lines).
 
-    A page counts once for a line it repeats. The list of a host has fewer than
-    (mean distinct lines of its pages) / ``max_ratio`` entries. Hot hosts are no
-    hot keys: counts are keyed by line and combined before the shuffle.
+    A page counts once for a line it repeats, and pages of equal text count as one page,
+    so that a page copied often does not make boilerplate of its own lines. The list of
+    a host has fewer than (mean distinct lines of its pages) / ``max_ratio`` entries. Hot
+    hosts and lines are no hot keys: rows are keyed by line and page first and their
+    counts combined before they meet.
     """
+    body = F.coalesce(text, F.lit(""))
     page = docs.select(
         F.col(host).alias("host"),
-        F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"),
+        F.struct(F.xxhash64(body).alias("a"), F.hash(body, F.lit(1)).alias("b")).alias("page"),
+        F.split(body, "\n").alias("lines"),
     )
     seen = page.select(
-        "host",
+        "host", "page",
         F.explode(
             F.array_distinct(
                 F.transform(
@@ -43,8 +47,8 @@ def boilerplate(
             )
         ).alias("line"),
     )
-    counts = seen.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    pages = page.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = seen.groupBy("host", "line").agg(F.countDistinct("page").alias("n")).filter(F.col("n") >= min_pages)
+    pages = page.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     return (
         counts.alias("c")
         .join(pages.alias("p"), F.expr("c.host <=> p.host"))
@@ -63,7 +67,8 @@ def drop_boilerplate(
     Rows, their order of lines and other columns stay; columns called n_lines or
     n_dropped are replaced. A null text stays null with no lines; a null host is a
     host of its own; lines without a word are never dropped. A text whose lines all
-    go becomes empty. Repeated rows count as pages of their own.
+    go becomes empty. Rows of equal text count as one page (a null text as an empty one)
+    and are all cleaned alike.
     """
     marks = saved(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
     site, gone = fresh(docs, "_site"), fresh(docs, "_gone")
@@ -92,15 +97,15 @@ def query(spark, sf_dir):
 
 SQL = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, source, text,
+  SELECT row_number() OVER () AS rid, doc_id, source, text, coalesce(text, '') AS page,
          string_split(text, chr(10)) AS ls
   FROM documents),
 l AS (
-  SELECT DISTINCT rid, source, k
-  FROM (SELECT rid, source,
+  SELECT DISTINCT page, source, k
+  FROM (SELECT page, source,
                trim(unnest(ls), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM d)
   WHERE k <> ''),
-p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+p AS (SELECT source, count(DISTINCT page) AS pages FROM d GROUP BY source),
 f AS (
   SELECT l.source, l.k
   FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source

@@ -23,9 +23,35 @@ def test_boilerplate_is_relative_to_the_host(docs):
 
 
 def test_ratio_is_exceeded_not_reached(docs):
-    rows = [(i, "often" if i < 5 else f"own {i}") for i in range(50)]
-    assert by_id(lines.drop_boilerplate(docs(rows)))[0]["text"] == "often"
-    assert by_id(lines.drop_boilerplate(docs(rows[:49])))[0]["text"] == ""
+    rows = [(i, f"often\nown {i}" if i < 5 else f"own {i}") for i in range(250)]
+    assert by_id(lines.drop_boilerplate(docs(rows)))[0]["text"] == "often\nown 0"
+    assert by_id(lines.drop_boilerplate(docs(rows[:249])))[0]["text"] == "own 0"
+
+
+def test_copies_of_a_page_are_one_page(docs):
+    rows = [(i, "a whole page\ncopied often") for i in range(40)] + [(100 + i, f"own {i}\nfoot") for i in range(10)]
+    rows += [(200 + i, text) for i, text in enumerate(["once\nfoot"] * 30 + [None, "", ""])]
+    got = by_id(lines.drop_boilerplate(docs(rows)))
+    assert all(got[i]["text"] == "a whole page\ncopied often" for i in range(40))
+    assert got[103]["text"] == "own 3" and got[210]["text"] == "once" and got[230]["text"] is None
+
+
+def test_lines_against_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    rows = table.collect()
+    pages, having = {}, {}
+    for r in rows:
+        pages.setdefault(r["source"], set()).add(r["text"] or "")
+    for s, texts in pages.items():
+        for t in texts:
+            for k in {x.strip("\t\n\x0b\x0c\r ") for x in t.split("\n")} - {""}:
+                having[s, k] = having.get((s, k), 0) + 1
+    gone = {(s, k) for (s, k), n in having.items() if n >= 2 and n > 0.2 * len(pages[s])}
+    got = by_id(lines.drop_boilerplate(table, max_ratio=0.2, min_pages=2))
+    assert gone and len(got) == len(rows)
+    for r in rows:
+        kept = [x for x in (r["text"] or "").split("\n") if (r["source"], x.strip("\t\n\x0b\x0c\r ")) not in gone]
+        assert got[r["doc_id"]]["text"] == (None if r["text"] is None else "\n".join(kept))
 
 
 def test_no_lines_in_an_empty_table(docs):
