@@ -213,16 +213,24 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block:
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, body, source_size, target, taken) per document."""
+    """(doc_id, source, size, body, source_size, target, taken, first_slot, last_slot) per document.
+
+    The slots are those of the schedule that take its first and its last words, null for
+    a document of which nothing is taken.
+    """
     sized = saved(sizes(docs), "mix_sizes")
     spans, placed, sources = mix(sized, **options)
-    sums = spans.groupBy("sid", "start", "stop").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    sums = spans.groupBy("sid", "start", "stop").agg(
+        F.sum(F.col("word_to") - F.col("word_from")).alias("taken"),
+        F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"),
+    )
     return (
         placed.join(sums, ["sid", "start", "stop"], "left")
         .join(sources.select("sid", F.col("words").alias("source_size"), "target"), "sid")
         .select(
             "doc_id", "source", "size", "body", "source_size", "target",
             F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+            *[F.when(F.col("size") > 0, F.col(c)).alias(c) for c in ("first_slot", "last_slot")],
         )
     )
 
@@ -251,10 +259,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir):
-    return taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot"
+    )
 
 
-#: What the schedule adds up to, without a schedule: whole passes and the head of the last one.
+#: ``taken`` is stated without a schedule: whole passes and the head of the last one. The
+#: slots come from the ranks of a document's blocks among its source's points.
 SQL = f"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -278,12 +289,48 @@ t AS (
                (SELECT level FROM lv WHERE level <= ratio ORDER BY ratio, sid LIMIT 1) * weight) AS target
   FROM lv),
 p AS (
-  SELECT s.doc_id, s.size, t.words, t.target, floor(t.target)::BIGINT AS take,
+  SELECT s.doc_id, s.source, s.size, t.words, t.target, floor(t.target)::BIGINT AS take,
          (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.digest, s.size
                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS start
-  FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, words AS source_size, target,
-       CASE WHEN words = 0 THEN 0
-            ELSE (take // words) * size + least(size, greatest(0, take % words - start)) END::BIGINT AS taken
-FROM p
+  FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+b AS (
+  SELECT (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS sid, source,
+         ((words + {BLOCK - 1}) // {BLOCK})::BIGINT AS blocks,
+         CASE WHEN words = 0 THEN 0
+              ELSE (floor(target)::BIGINT // words) * ((words + {BLOCK - 1}) // {BLOCK})
+                   + (floor(target)::BIGINT % words + {BLOCK - 1}) // {BLOCK} END::BIGINT AS slots
+  FROM t),
+sh AS (
+  SELECT sid, source, slots, blocks, (sum(slots) OVER ())::BIGINT AS total,
+         (sum(slots) OVER (ORDER BY sid) - slots)::DOUBLE / sum(slots) OVER () AS lo,
+         (sum(slots) OVER (ORDER BY sid))::DOUBLE / sum(slots) OVER () AS hi
+  FROM b),
+u AS (
+  SELECT id, (id + 1)::DOUBLE * {GOLDEN}::DOUBLE - floor((id + 1)::DOUBLE * {GOLDEN}::DOUBLE) AS u
+  FROM (SELECT unnest(range(coalesce((SELECT sum(slots) FROM b), 0)::BIGINT)) AS id)),
+h AS (
+  SELECT sh.sid, u.id AS slot, row_number() OVER (PARTITION BY sh.sid ORDER BY u.id) - 1 AS rank
+  FROM u JOIN sh ON u.u >= sh.lo AND u.u < sh.hi),
+g AS (SELECT sid, count(*) AS got FROM h GROUP BY sid),
+o AS (
+  SELECT sid, rank, slot FROM h
+  UNION ALL
+  SELECT sid, r AS rank, total + r AS slot
+  FROM (SELECT sh.sid, sh.total, unnest(range(coalesce(g.got, 0), sh.slots)) AS r FROM sh LEFT JOIN g USING (sid))),
+q AS (
+  SELECT p.*, sh.sid, sh.blocks,
+         CASE WHEN words = 0 THEN 0
+              ELSE (take // words) * size + least(size, greatest(0, take % words - start)) END::BIGINT AS taken,
+         CASE WHEN words = 0 THEN 0 ELSE take // words END AS passes,
+         CASE WHEN words = 0 THEN 0 ELSE take % words END AS rest
+  FROM p JOIN sh ON p.source IS NOT DISTINCT FROM sh.source),
+e AS (
+  SELECT *, start // {BLOCK} AS first_rank,
+         CASE WHEN rest > start THEN passes * blocks + (least(start + size, rest) - 1) // {BLOCK}
+              ELSE (passes - 1) * blocks + (start + size - 1) // {BLOCK} END AS last_rank
+  FROM q)
+SELECT e.doc_id, e.size, e.words AS source_size, e.target, e.taken,
+       f.slot::BIGINT AS first_slot, l.slot::BIGINT AS last_slot
+FROM e LEFT JOIN o f ON e.taken > 0 AND f.sid = e.sid AND f.rank = e.first_rank
+       LEFT JOIN o l ON e.taken > 0 AND l.sid = e.sid AND l.rank = e.last_rank
 """

@@ -71,6 +71,20 @@ def test_spans_cover_what_is_taken(docs):
         assert all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[0][0] == 0
 
 
+def test_slots_of_a_document_are_those_of_its_spans(docs):
+    rows = rows_of([("a", 30, 100), ("b", 10, 40), (None, 12, 700)]) + [(900, None, "en", "a"), (901, "", "en", "b")]
+    df = docs(rows)
+    spans, placed, _ = mixing.mix(mixing.sizes(df), block=32)
+    at = {(r["sid"], r["start"], r["stop"]): r["doc_id"] for r in placed.collect() if r["size"]}
+    slots = {}
+    for r in spans.collect():
+        slots.setdefault(at[r["sid"], r["start"], r["stop"]], []).append(r["slot"])
+    for r in mixing.taken(df, block=32).collect():
+        own = slots.get(r["doc_id"])
+        assert (r["first_slot"], r["last_slot"]) == ((min(own), max(own)) if own else (None, None))
+        assert (r["taken"] == 0) == (own is None)
+
+
 def test_edges_of_the_mix(docs):
     assert mixing.taken(docs([])).count() == 0
     got = mixing.taken(docs([(1, None), (2, ""), (None, "a b"), (None, "a b"), (3, "x " * 20_000)])).collect()
@@ -90,6 +104,6 @@ def test_copies_keep_columns(docs):
 def test_sql_agrees_with_the_schedule(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = sorted(con.execute(mixing.SQL).fetchall())
-    got = sorted(tuple(r) for r in mixing.query(spark, sf_dir).collect())
+    want = sorted(con.execute(mixing.SQL).fetchall(), key=repr)
+    got = sorted((tuple(r) for r in mixing.query(spark, sf_dir).collect()), key=repr)
     assert got == want
