@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import read, saved
+from tapeline.llm.common import read, saved, shuffles_removed
 
 #: Classes of words; class 0 is the end of a text.
 CLASSES = 64
@@ -26,7 +26,7 @@ ENDINGS = 1024
 #: not raised the best likelihood by this much per token; the last bound is a guard only.
 PATIENCE, RISE, MOST_ROUNDS = 2, 1e-3, 200
 #: Tokens whose pairs share a bucket; tokens of a block whose pairs are counted at a time.
-BUCKET_TOKENS, PIECE = 1_000_000, 400_000
+BUCKET_TOKENS, PIECE = 1_000_000, 1_000_000
 #: Weight of a class's own frequency in its transitions.
 KAPPA = 5.0
 #: Characters of a block of documents: what one task scores at a time, about.
@@ -159,26 +159,41 @@ class Units:
         return self.own.get(word) or 1 + ending(word)
 
 
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Arrays of one length below 2**32, byte plane by byte plane, compressed."""
+    planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(len(columns), -1, 4)
+    return pa.compress(planes.transpose(0, 2, 1).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, columns: int) -> np.ndarray:
+    """What ``packed`` made of ``columns`` arrays of ``size`` entries, one array a row."""
+    raw = pa.decompress(data, decompressed_size=4 * size * columns, codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 4, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(columns, size)
+
+
 def dealt(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.Table:
     """Pairs by bucket of their later (side 0) and of their earlier unit (side 1).
 
-    (bucket, side, u, v, n): arrays of unit, neighbour and count. A unit's bucket is its
-    number modulo ``buckets``, so a bucket has every pair of its units.
+    (bucket, side, size, pairs): ``pairs`` packs ``size`` units as steps in ascending
+    order, their neighbours and counts. A unit's bucket is its number modulo ``buckets``,
+    so a bucket has every pair of its units.
     """
     rows: list[tuple] = []
     for side, (u, v) in enumerate(((b, a), (a, b))):
         at = u % buckets
-        order, ends = np.argsort(at, kind="stable"), np.cumsum(np.bincount(at, minlength=buckets))
-        columns = [x.astype(np.uint32)[order] for x in (u, v, n)]
+        order, ends = np.lexsort((u, at)), np.cumsum(np.bincount(at, minlength=buckets))
+        u, v, m = u[order], v[order], n[order]
         for i in range(buckets):
-            begin = ends[i - 1] if i else 0
-            if begin < ends[i]:
-                rows.append((i, side, *(x[begin : ends[i]].tobytes() for x in columns)))
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
-    return pa.table({x: pa.array([r[i] for r in rows], kinds[i]) for i, x in enumerate(("bucket", "side", "u", "v", "n"))})
+            begin, end = ends[i - 1] if i else 0, ends[i]
+            if begin < end:
+                steps = np.diff(u[begin:end], prepend=0)
+                rows.append((i, side, end - begin, packed([steps, v[begin:end], m[begin:end]])))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table({x: pa.array([r[i] for r in rows], kinds[i]) for i, x in enumerate(("bucket", "side", "size", "pairs"))})
 
 
-DEALT = "bucket long, side long, u binary, v binary, n binary"
+DEALT = "bucket long, side long, size long, pairs binary"
 
 
 def count_pairs(docs: DataFrame, counts: DataFrame, text: str, train: str, frequent: Vocabulary, buckets: int) -> DataFrame:
@@ -223,9 +238,17 @@ def gathered(parts: DataFrame, size: int, buckets: int) -> DataFrame:
         out: dict[str, list] = {"bucket": [bucket]}
         for s in (0, 1):
             rows = t.filter(pa.array(side == s))
-            u, v, n = (np.frombuffer(b"".join(rows[x].to_pylist()), np.uint32).astype(np.int64) for x in ("u", "v", "n"))
-            keys, at = np.unique(u * size + v, return_inverse=True)
-            sums = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+            every, upto = rows["size"].to_numpy(), 0
+            keys, sums = np.empty(int(every.sum()), np.int64), np.empty(int(every.sum()), np.int64)
+            for many, data in zip(every.tolist(), rows["pairs"], strict=True):
+                steps, v, n = unpacked(data.as_py(), many, 3)
+                keys[upto : upto + many] = np.cumsum(steps, dtype=np.int64) * size + v
+                sums[upto : upto + many] = n
+                upto += many
+            order = np.argsort(keys)
+            keys, sums = keys[order], sums[order]
+            starts = np.flatnonzero(np.diff(keys, prepend=-1))
+            keys, sums = keys[starts], np.add.reduceat(sums, starts) if len(starts) else sums
             times = -(-sums // 65_535)
             last = np.cumsum(times) - 1
             keys, n = np.repeat(keys, times), np.full(int(times.sum()), 65_535)
@@ -236,7 +259,7 @@ def gathered(parts: DataFrame, size: int, buckets: int) -> DataFrame:
         return pa.table(out)
 
     names = ", ".join(f"{x}{s} binary" for s in (0, 1) for x in "mvn")
-    return saved(parts.groupBy("bucket").applyInArrow(together, f"bucket long, {names}"), "class_pairs")
+    return saved(parts.groupBy("bucket").applyInArrow(together, f"bucket long, {names}"), "class_pairs", "zstd")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -427,8 +450,9 @@ def score(
         "_block", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     ).withColumn("train", ~F.col("held_out"))
-    counts = saved(count_words(rows, "text", "train"), "class_words")
-    model = train(rows, counts, "text", "train")
+    with shuffles_removed(docs.sparkSession):
+        counts = saved(count_words(rows, "text", "train"), "class_words", "zstd")
+        model = train(rows, counts, "text", "train")
     handle = docs.sparkSession.sparkContext.broadcast(model._replace(frequent=model.frequent._replace(words=None)))
     kind = docs.schema[doc_id].dataType.simpleString()
 

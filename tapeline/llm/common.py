@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +43,7 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
 _FOLDERS: dict[str, str] = {}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written under the shared folder and read back.
 
     This cuts the lineage without keeping anything on one executor, gives the
@@ -53,10 +55,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     if app not in _FOLDERS:
         _FOLDERS[app] = checkpoint_dir(spark).rstrip("/")
     path = f"{_FOLDERS[app]}/tapeline-{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of every query that ends inside are removed at its end.
+
+    Otherwise they stay until the driver's JVM happens to collect what refers to them.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cores(spark: SparkSession) -> int:
     """Partitions that a narrow CPU-bound step is dealt over at least."""
     return max(spark.sparkContext.defaultParallelism, 1)

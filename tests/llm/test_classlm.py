@@ -60,6 +60,33 @@ def test_probabilities_sum_to_one(docs, spark):
         assert p + 10 ** C.emissions(np.array([0]), np.array([c]), m)[0] == pytest.approx(1)
 
 
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 1000):
+        columns = [rng.integers(0, top, n) for top in (2, 70_000, 2**32 - 1)]
+        assert (C.unpacked(C.packed(columns), n, 3) == np.stack(columns)).all()
+
+
+def test_gathered_pairs_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    size, buckets = 50, 3
+    pairs = [(int(a), int(b), int(n)) for a, b, n in zip(rng.integers(0, size, 900), rng.integers(0, size, 900) ** 2 // size, rng.integers(1, 40_000, 900), strict=True)]
+    want = Counter()
+    for a, b, n in pairs:
+        want[a, b] += n
+    parts = [C.dealt(*(np.array(x) for x in zip(*pairs[i : i + 300], strict=True)), buckets) for i in (0, 300, 600)]
+    df = spark.createDataFrame([tuple(r.values()) for t in parts for r in t.to_pylist()], C.DEALT)
+    got = [Counter(), Counter()]
+    for r in C.gathered(df, size, buckets).collect():
+        for side in (0, 1):
+            m, v = (np.frombuffer(r[f"{x}{side}"], np.uint32) for x in "mv")
+            n = np.frombuffer(r[f"n{side}"], np.uint16)
+            own = np.repeat(np.arange(r["bucket"], size, buckets), m)
+            for u, w, k in zip(own.tolist(), v.tolist(), n.tolist(), strict=True):
+                got[side][(w, u) if side == 0 else (u, w)] += k
+    assert got[0] == want and got[1] == want and max(want.values()) > 65_535
+
+
 def test_exchange_finds_words_that_stand_alike(spark):
     # Units 1-6 alternate with units 7-12: two classes explain all of it.
     rng = np.random.default_rng(1)
