@@ -9,12 +9,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import read, saved, shuffles_removed
+from tapeline.llm.common import as_bytes, read, saved, shuffles_removed
 
 #: Classes of words; class 0 is the end of a text.
 CLASSES = 64
@@ -56,9 +57,9 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased."""
-    return (text or "").encode().lower().split()
+def _words(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased."""
+    return text.lower().split()
 
 
 def ending(word: bytes) -> int:
@@ -86,7 +87,7 @@ def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
             )
 
         for batch in batches:
-            for b, t, use in zip(_column(batch, "_block"), _column(batch, text), _column(batch, train), strict=True):
+            for b, t, use in zip(_column(batch, "_block"), as_bytes(batch, text), _column(batch, train), strict=True):
                 if b != block or len(learnt) + len(seen) > 4 * MEMO:
                     if learnt or seen:
                         yield flush()
@@ -96,22 +97,24 @@ def count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
             yield flush()
 
     parts = docs.select("_block", text, train).mapInArrow(count, "_block long, word binary, n long")
-    same = Window.partitionBy("word")
-    counted = parts.select(
-        "_block", "word", F.sum("n").over(same).alias("c"),
-        (F.row_number().over(same.orderBy("_block")) == 1).alias("first"),
-    )
+    counted = parts.select("_block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, upto = TaskContext.get().partitionId(), 0
-        for batch in batches:  # rows of a word are neighbours, the one marked ``first`` leads
-            c, first = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        chunk, upto, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:  # the window leaves rows of a word as neighbours, the one marked ``first`` leads
+            if not batch.num_rows:
+                continue
+            word, c = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            first = np.ones(len(c), bool)
+            first[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
+            first[0] = last is None or word[0].as_py() != last
+            last = word[-1].as_py()
             often = c >= LEAST
             at = upto + np.cumsum(first & often)
             upto = int(at[-1]) if len(at) else upto
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(len(c), chunk, np.int64)), pa.array(np.where(often, at - 1, -1).astype(np.int64))],
-                names=[*batch.schema.names, "chunk", "local"],
+                [*batch.columns, pa.array(first), pa.array(np.full(len(c), chunk, np.int64)), pa.array(np.where(often, at - 1, -1).astype(np.int64))],
+                names=[*batch.schema.names, "first", "chunk", "local"],
             )
 
     return counted.mapInArrow(number, "_block long, word binary, c long, first boolean, chunk long, local long")
@@ -182,7 +185,7 @@ def dealt(a: np.ndarray, b: np.ndarray, n: np.ndarray, buckets: int) -> pa.Table
     rows: list[tuple] = []
     for side, (u, v) in enumerate(((b, a), (a, b))):
         at = u % buckets
-        order, ends = np.lexsort((u, at)), np.cumsum(np.bincount(at, minlength=buckets))
+        order, ends = np.argsort(at * (u.max(initial=0) + 1) + u), np.cumsum(np.bincount(at, minlength=buckets))
         u, v, m = u[order], v[order], n[order]
         for i in range(buckets):
             begin, end = ends[i - 1] if i else 0, ends[i]
@@ -207,8 +210,8 @@ def count_pairs(docs: DataFrame, counts: DataFrame, text: str, train: str, frequ
         own = words["word"].to_pylist()
         at = dict(zip(own, known.units(own, words["chunk"].to_numpy(), words["local"].to_numpy()).tolist(), strict=True))
         run = [np.zeros(1, np.int64)]
-        for t in texts["text"]:
-            tokens = _words(t.as_py())
+        for t in as_bytes(texts, "text"):
+            tokens = _words(t)
             run += [np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens)), np.zeros(1, np.int64)]
         del own, at
         seq = np.concatenate(run)
@@ -466,7 +469,7 @@ def score(
         norm = m.total + 0.1 * (m.distinct + 1)
         base, base_end = np.log10((c + 0.1) / norm), np.log10((m.ends + 0.1) / norm)
         got: list[tuple] = []
-        for t in texts["text"].to_pylist():
+        for t in as_bytes(texts, "text"):
             tokens = _words(t)
             i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
             path = np.concatenate([[0], cls[i], [0]])

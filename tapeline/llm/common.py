@@ -34,7 +34,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
+def as_bytes(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes]:
     """A column of texts in UTF-8; a null text is empty."""
     column = batch.column(batch.schema.get_field_index(name))
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
