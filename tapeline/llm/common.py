@@ -43,7 +43,7 @@ def as_bytes(batch: pa.RecordBatch | pa.Table, name: str) -> list[bytes]:
 _FOLDERS: dict[str, str] = {}
 
 
-def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written under the shared folder and read back.
 
     This cuts the lineage without keeping anything on one executor, gives the
