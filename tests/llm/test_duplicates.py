@@ -32,6 +32,21 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [2, 3])
+def test_components_of_trees_hubs_and_cliques(spark, seed):
+    rng = random.Random(seed)
+    tree = [(i, rng.randrange(i)) for i in range(1, 50)]
+    low, high = [(100, x) for x in range(101, 130)], [(229, x) for x in range(200, 229)]
+    clique = [(a, b) for a in range(300, 312) for b in range(300, a)]
+    bridges = [(129, 200), (210, 311)]
+    names = list(range(320))
+    rng.shuffle(names)  # so that roots stand anywhere in their components
+    links = [(names[a], names[b]) for a, b in tree + low + high + clique + bridges]
+    got = graph.components(spark.createDataFrame([*links, (None, 1), (5, None)], "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == union({x for e in links for x in e}, links)
+    assert len(got) == len({r["node"] for r in got})
+
+
 def test_tiles_meet_each_pair_once(spark):
     from pyspark.sql import functions as F
 
