@@ -235,26 +235,42 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole copy.
+def copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, **options) -> DataFrame:
+    """(doc_id, source, body, slots) of the rows that the mix takes, ``slots`` one per copy.
 
-    Rows that agree in id, source and text share what was taken from them evenly.
-    All columns stay as they are.
+    Rows that agree in id, source and text share what was taken from them evenly, to the
+    nearest whole copy. Each pass over a source takes a row once, so the k-th least of
+    the slots in which passes begin a row is where its k-th copy stands.
     """
-    share = (
-        taken(docs, **options)
-        .groupBy("doc_id", "source", "body")
-        .agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-        .select("doc_id", "source", "body", F.round(F.col("t") / F.greatest("s", F.lit(1))).cast("int").alias("n"))
-        .filter("n > 0")
+    spans, placed, _ = mix(sizes(docs), max_repeat=max_repeat, **options)
+    begun = spans.groupBy("sid", "start", "stop", "pass").agg(
+        F.sum(F.col("word_to") - F.col("word_from")).alias("t"), F.min("slot").alias("slot")
+    )
+    rows = (
+        begun.groupBy("sid", "start", "stop").agg(F.sum("t").alias("t"), F.collect_list("slot").alias("slots"))
+        .join(placed.filter("size > 0"), ["sid", "start", "stop"], "right")
+        .select("doc_id", "source", "body", "size", F.coalesce("t", F.lit(0)).alias("t"), F.array_sort("slots").alias("slots"))
     )
-    n = fresh(docs, "_n")
+    least = [F.min(F.get("slots", F.lit(k))).alias(f"s{k}") for k in range(max_repeat)]
+    share = rows.groupBy("doc_id", "source", "body").agg(F.sum("t").alias("t"), F.sum("size").alias("s"), *least)
+    n = F.round(F.col("t") / F.col("s")).cast("int")
+    slots = F.slice(F.array(*[f"s{k}" for k in range(max_repeat)]), F.lit(1), n)
+    return share.filter(n > 0).select("doc_id", "source", "body", slots.alias("slots"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as often as the mix takes them, in the order of the schedule.
+
+    Rows are sorted into ranges by the slots of ``copies``, so files read one after the
+    other hold the sources in the proportions of the mix throughout. Rows without words
+    are in no slot and go. All columns stay as they are.
+    """
+    slot = fresh(docs, "_slot")
     on = F.expr("d.doc_id <=> t.doc_id AND d.source <=> t.source AND xxhash64(d.text) = t.body")
+    taken_ = saved(copies(docs, **options), "mix_copies").alias("t")
     return (
-        docs.alias("d").join(saved(share, "mix_share").alias("t"), on)
-        .select("d.*", F.col("t.n").alias(n))
-        .withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
-        .drop(n)
+        docs.alias("d").join(taken_, on).select("d.*", F.explode("t.slots").alias(slot))
+        .repartitionByRange(slot).sortWithinPartitions(slot).drop(slot)
     )
 
 

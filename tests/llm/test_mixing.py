@@ -101,6 +101,33 @@ def test_copies_keep_columns(docs):
     assert {r["doc_id"] for r in out.collect()} >= set(range(10))
 
 
+def test_copies_stand_in_the_order_of_the_schedule(docs):
+    rows = rows_of([("a", 60, 40), ("b", 20, 200), ("c", 9, 30)]) + [(7, "same text", "en", "d")] * 3 + [(800, "", "en", "a")]
+    df = docs(rows)
+    sized = mixing.sizes(df)
+    spans, placed, _ = mixing.mix(sized, block=16)
+    at = {(r["sid"], r["start"], r["stop"]): r for r in placed.collect() if r["size"]}
+    begun, words = {}, {}
+    for r in spans.collect():
+        key = (r["sid"], r["start"], r["stop"])
+        begun.setdefault(key, {}).setdefault(r["pass"], []).append(r["slot"])
+        words[key] = words.get(key, 0) + r["word_to"] - r["word_from"]
+    want = []
+    for key, passes in begun.items():
+        doc = at[key]
+        if doc["source"] != "d":
+            own = sorted(min(p) for p in passes.values())
+            want += [(s, doc["doc_id"]) for s in own[: int(words[key] / doc["size"] + 0.5)]]
+    got = [(r["doc_id"], r["source"]) for r in mixing.mixed(df, block=16).collect()]
+    taken = sum(n for key, n in words.items() if at[key]["source"] == "d")
+    assert sum(s == "d" for _, s in got) == int(taken / 6 + 0.5) * 3
+    slots = {}
+    for s, i in sorted(want):
+        slots.setdefault(i, []).append(s)
+    order = [slots[i].pop(0) for i, s in got if s != "d"]
+    assert order == sorted(s for s, _ in want)
+
+
 def test_sql_agrees_with_the_schedule(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
