@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tapeline.functions.expr import iso
-from tapeline.operators.tables import VersionedTable, observed
+from tapeline.operators.tables import VersionedTable, observed, upsert  # noqa: F401
 
 # --- event sync ----------------------------------------------------------------------
 
