@@ -243,3 +243,20 @@ def test_wildcard_rules_fire_as_in_brute_force(spark, monkeypatch, rows):
                 if fires:
                     want.add((f"{o} {t}", f"10:{i:02d}"))
     assert {(r[0], r[2]) for r in got} == want and len(got) == len(want)
+
+
+def test_listed_rules_out_of_reach_are_not_paired(spark):
+    fields = ", ".join(f"{p}{f} double" for f in rules.FIELDS for p in ("f_", "prev_f_"))
+    values = spark.createDataFrame(
+        [(1, "S1", "2024-01-01T00:00:00Z", 0, *[2.0] * 16), (2, "S2", "2024-01-01T00:00:00Z", 0, *[2.0] * 16)],
+        f"quote_id bigint, symbol string, event_ts string, ts_s bigint, {fields}",
+    )
+    listed = spark.createDataFrame(
+        [(f"r{t}", "u", ["S1"], "price", ">", float(t), "EVERY_TIME", 0, "ACTIVE") for t in range(1, 1001)]
+        + [("odd", "u", ["S1", "S1"], "nothing", ">", 0.0, "EVERY_TIME", 0, "ACTIVE"),
+           ("null", "u", ["S1", None], "price", "<", None, "EVERY_TIME", 0, "ACTIVE")],
+        "rule_id string, user_id string, symbols array<string>, field string, operator string, "
+        "threshold double, frequency string, cooldown_min int, status string",
+    )
+    assert rules.candidates(values, listed).count() <= 3
+    assert [r.rule_id for r in rules.fired(values, listed).collect()] == ["r1"]
