@@ -276,3 +276,29 @@ def test_layout_sorts_inside_files(spark, tmp_path):
         got = [(r.symbol, r.day) for r in spark.read.parquet(str(file)).collect()]
         assert got == sorted(got)
     assert spark.read.parquet(str(tmp_path / "l")).count() == 200
+
+
+def test_upsert_runs_its_source_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    table = monthly(spark, tmp_path / "o")
+    table.append(bars(spark, ("A", 1, 1.0), ("A", 2, 2.0), ("B", 2, 3.0)))
+    source = bars(spark, ("A", 2, 9.0), ("C", 2, 5.0), ("D", 3, 6.0)).withColumn("close", counted("close"))
+    assert table.upsert(source, ["symbol", "day"]) == 4  # three of the source, one kept beside them
+    assert runs.value == 3
+    assert sorted((r.symbol, r.day.day, r.close) for r in table.read().collect()) == [
+        ("A", 1, 1.0), ("A", 2, 9.0), ("B", 2, 3.0), ("C", 2, 5.0), ("D", 3, 6.0)]
+
+
+def test_refused_upsert_leaves_no_files(spark, tmp_path):
+    table = monthly(spark, tmp_path / "r")
+    table.append(bars(spark, ("A", 1, 1.0)))
+    before = sorted(p.name for p in (tmp_path / "r" / "data").iterdir())
+    with pytest.raises(ValueError, match="duplicate"):
+        table.upsert(bars(spark, ("A", 2, 1.0), ("A", 2, 2.0)), ["symbol", "day"])
+    assert sorted(p.name for p in (tmp_path / "r" / "data").iterdir()) == before
