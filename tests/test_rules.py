@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeline.operators import rules
+from tapeline.plans import derive
+from tapeline.plans.queries import QUERIES
 
 QUOTE = dict(
     quote_id=1, symbol="AAPL", price=150.0, change_pct=0.0, day_volume=1_000_000, day_high=155.0,
@@ -260,3 +262,19 @@ def test_listed_rules_out_of_reach_are_not_paired(spark):
     )
     assert rules.candidates(values, listed).count() <= 3
     assert [r.rule_id for r in rules.fired(values, listed).collect()] == ["r1"]
+
+
+def test_a_symbols_quotes_meet_its_rules_as_one_row(spark, sf_dir, monkeypatch):
+    seen, pair = [], rules.match_rules
+    monkeypatch.setattr(rules, "match_rules", lambda q, *a, **k: seen.append(q) or pair(q, *a, **k))
+    QUERIES["match_rules"](spark, sf_dir)
+    assert seen[0].count() == derive.quotes(spark, sf_dir).select("symbol").distinct().count()
+
+
+def test_totals_of_rules_that_come_twice(spark):
+    quotes = frame(spark, *[at(m, s) for m in (3, 1) for s in ("A", "A", "B", None)])
+    twice = rule_frame(spark, dict(symbols=["*"]), dict(symbols=["A", "A"]), dict(symbols=["A"]))
+    pairs = rules.match_rules(rules.symbol_totals(quotes), twice.select("rule_id", "symbols"), salt="symbol")
+    got = {r.symbol: (r.n, r.ids) for r in pairs.groupBy("symbol").agg(
+        F.sum("n").alias("n"), F.sum("quote_ids").alias("ids")).collect()}
+    assert got == {"A": (12, 3 * (0 + 1 + 4 + 5)), "B": (2, 2 + 6), None: (2, 3 + 7)}
