@@ -278,3 +278,55 @@ def test_totals_of_rules_that_come_twice(spark):
     got = {r.symbol: (r.n, r.ids) for r in pairs.groupBy("symbol").agg(
         F.sum("n").alias("n"), F.sum("quote_ids").alias("ids")).collect()}
     assert got == {"A": (12, 3 * (0 + 1 + 4 + 5)), "B": (2, 2 + 6), None: (2, 3 + 7)}
+
+
+def test_a_quote_is_copied_per_block_of_rules_not_per_cell(spark, monkeypatch):
+    fields = ", ".join(f"{p}{f} double" for f in rules.FIELDS for p in ("f_", "prev_f_"))
+    values = spark.createDataFrame(
+        [(1, "S1", "2024-01-01T00:00:00Z", 0, *[1e6] * 16)],
+        f"quote_id bigint, symbol string, event_ts string, ts_s bigint, {fields}",
+    )
+    cells = rule_frame(spark, *[dict(rule_id=str(t), symbols=["*"], threshold=4.0 ** t) for t in range(9)])
+    copies = []
+
+    def counted(big, shared, on, salt):
+        copies.append(big.count())
+        return big.join(shared, on)
+
+    assert rules.candidates(values, cells, counted).count() == 9 and copies == [1]
+    monkeypatch.setattr(rules, "BLOCK", 3)
+    assert rules.candidates(values, cells, counted).count() == 9 and copies == [1, 3]
+
+
+def test_only_matches_of_a_rules_first_second_are_sorted(spark):
+    matches = rules.eval_custom_rules(
+        frame(spark, *[at(m, s) for m in (9, 2, 2, 5) for s in ("B", "A")]),
+        rule_frame(spark, dict(frequency="ONCE", symbols=["*"]), dict(rule_id="r2", frequency="ONCE", symbols=["B"])),
+    )
+    got = rules.once_rules(matches)
+    assert sorted((r.rule_id, r.symbol, r.event_ts[11:16], r.quote_id) for r in got.collect()) == [
+        ("r1", "A", "10:02", 3), ("r2", "B", "10:02", 2)]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("WindowGroupLimit") < text.index("Join LeftSemi") < text.index("min(")
+
+
+def test_rules_without_a_cooldown_are_not_stored(spark, sf_dir):
+    QUERIES["custom_cooldown"](spark, sf_dir)
+    kept = derive.cooled_matches(spark, sf_dir)
+    assert kept.filter("cooldown_min <= 0 OR frequency = 'ONCE'").isEmpty() and not kept.isEmpty()
+    text = derive.custom_matches(spark, sf_dir, rules.FREE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in text  # formed where it is read
+
+
+def test_matches_handed_in_apart_are_the_same_alerts(spark):
+    quotes = frame(spark, *[at(m, s) for m in (0, 30, 59, 60, 61, 120) for s in ("A", "B")])
+    some = rule_frame(
+        spark, dict(symbols=["*"]), dict(rule_id="r2", symbols=["A", "B"], cooldown_min=60),
+        dict(rule_id="r3", symbols=["B"], frequency="ONCE", cooldown_min=30),
+        dict(rule_id="r4", symbols=["A"], cooldown_min=None), dict(rule_id="r5", symbols=["A"], frequency=None),
+    )
+    of = lambda where: rules.eval_custom_rules(quotes, some.filter(where))
+    whole = rules.fired_custom_alerts(of("true"))
+    parts = rules.fired_custom_alerts(of(rules.FREE), cooled=of(rules.COOLED), once=of(rules.ONCE))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    assert whole.count() == 12 + 6 + 1
